@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import media, mixing, packing, quality, sharding, warc
+from marketlens.llm import jaccard, media, mixing, packing, quality, sharding, warc
 from marketlens.llm.common import read
 
 
@@ -37,8 +37,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op5_mixing, op6_sharding, op8_warc)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op5_mixing, op6_sharding, op8_warc, op10_jaccard_join)
 }
 
 _OP5 = """
@@ -77,4 +81,19 @@ SELECT page_id, payload_bytes,
 FROM q JOIN m USING (hex)
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": _OP5, "op8_warc": _OP8}
+_OP10 = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+c AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM c GROUP BY node) m ON m.node = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": _OP5, "op8_warc": _OP8, "op10_jaccard_join": _OP10}
