@@ -24,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, gives true sizes to the planner."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, gives true sizes to the planner.
+
+    Collecting the driver's garbage lets Spark delete the shuffle files that led to the table, which nothing reads again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

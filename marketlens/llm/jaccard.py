@@ -28,7 +28,7 @@ from marketlens.llm.common import fresh, written
 from marketlens.llm.graph import components
 
 SHINGLE = 5
-BLOCK, BITS, BLOOM = 1024, 512, 1 << 22
+BLOCK, BITS, BLOOM = 1024, 64, 1 << 22
 _MEMO = 1 << 20
 _memo: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -60,9 +60,10 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """For each place, whether an odd number of elements falls there; 512 places, more for sets of over 1024 elements."""
+    """For each place, whether an odd number of elements falls there. Unrelated sets differ in about half the places, sets
+    that link in 2/9 of |s|: two thirds of |s| places tell them apart."""
     bits = BITS
-    while bits < len(s) // 2:
+    while 3 * bits < 2 * len(s):
         bits *= 2
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -170,40 +171,44 @@ def _band(n: str) -> Column:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """rows (token, sid, n, label, map) -> also tile: blocks of at most about 1024 rows of a band, against each other and
-    against those of the next band. Most tiles have one block per band, and a row goes into two."""
-    rows = rows.withColumn("band", _band("n"))
-    counts = rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    up = counts.select("token", (F.col("band") - 1).alias("band"), F.col("k").alias("above"))
-    down = counts.select("token", (F.col("band") + 1).alias("band"), F.col("k").alias("below"))
-    sizes = counts.join(up, ["token", "band"], "left").join(down, ["token", "band"], "left").na.fill(0, ["above", "below"])
-    mine = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("k")).cast("int")
-    own = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.col("band").alias("b"), F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j"), F.lit(0).alias("x")))
-    span = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
-    over = F.transform(span("above"), lambda j: F.struct(F.col("band").alias("b"), F.col("mine").alias("i"), j.alias("j"), F.lit(1).alias("x")))
-    under = F.transform(span("below"), lambda j: F.struct((F.col("band") - 1).alias("b"), j.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("x")))
-    placed = rows.join(sizes, ["token", "band"]).withColumn("mine", mine)
-    return placed.select("token", "sid", "n", "label", "map", "band", F.explode(F.concat(own, over, under)).alias("tile"))
+    """rows (token, sid, n, label, band) -> one row for each tile (b, i, j) of token that it goes into.
+
+    Tile b holds bands b and b + 1, so a row goes into two. Only a band of more than BLOCK rows is cut: its k blocks, and those
+    of the next band, meet pairwise in the tiles i <= j of k + (blocks of the next band) blocks.
+    """
+    counts = rows.groupBy("token", "band").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    large = counts.select("token", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    here = rows.withColumn("b", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    low = large.select("token", F.col("band").alias("b"), F.col("k").alias("k0"))
+    high = large.select("token", (F.col("band") - 1).alias("b"), F.col("k").alias("k1"))
+    here = here.join(low.join(high, ["token", "b"], "full"), ["token", "b"], "left").na.fill(1, ["k0", "k1"])
+    h = F.xxhash64("sid", F.lit(7))
+    block = F.when(F.col("band") == F.col("b"), F.pmod(h, F.col("k0"))).otherwise(F.col("k0") + F.pmod(h, F.col("k1"))).cast("int")
+    here = here.withColumn("mine", F.when((F.col("k0") == 1) & (F.col("k1") == 1), 0).otherwise(block))
+    blocks = F.when((F.col("k0") == 1) & (F.col("k1") == 1), 1).otherwise(F.col("k0") + F.col("k1"))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
+    # the blocks of the higher band meet each other in the tile of their own band
+    wanted = F.filter(others, lambda t: (blocks == 1) | (t["i"] < F.col("k0")))
+    return here.select("token", "b", F.explode(wanted).alias("t"), "sid", "n", "label", "band").select("token", "b", "t.i", "t.j", "sid", "n", "label", "band")
 
 
 def _try_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their tiles (token, b, i, j, x) -> pairs of different labels that the bitmaps let through."""
+    """Rows in the order of their tiles (token, b, i, j) -> pairs of different labels that the bitmaps let through."""
     held: list = []
     last = None
 
     def settle(rows: list) -> list[tuple[int, int]]:
+        if len({r[2] for r in rows}) < 2:
+            return []
         rows.sort(key=lambda r: (r[1], r[0]))
         ids, n, label, band = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         size = min(len(r[4]) for r in rows)
-        maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
-        cross, out = last[-1], []
+        maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows])
+        maps, out = maps.view(np.uint64), []
         ends = np.searchsorted(n, n * 5 // 4, side="right")
         for i in range(len(rows) - 1):
-            if (end := int(ends[i])) > i + 1:
-                ok = label[i + 1 : end] != label[i]
-                if cross:
-                    ok &= band[i + 1 : end] != band[i]
-                if len(at := np.flatnonzero(ok)):
+            if band[i] == last[1] and (end := int(ends[i])) > i + 1:  # sizes ascend: a pair's smaller set is in band b
+                if len(at := np.flatnonzero(label[i + 1 : end] != label[i])):
                     at += i + 1
                     differ = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
                     at = at[may_link(int(n[i]), n[at], differ)]
@@ -237,10 +242,10 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     docs = docs.select(place, key, text)
     sets = written(described(docs, place, key, text), "sets")
     one = sets.where("map IS NOT NULL").groupBy("sid").agg(F.min("place").alias("place"))
-    maps = sets.where("map IS NOT NULL").select("sid", "n", "map", "place").join(one, ["sid", "place"])  # a set may be shown by several tasks
-    rows = sets.where("keys IS NOT NULL").select(F.explode("keys").alias("token"), "sid", "n")
-    least = rows.groupBy("token").agg(F.min(F.struct("n", "sid")).alias("lo"), F.max(F.struct("n", "sid")).alias("hi")).where("lo < hi")
-    rows = written(rows.join(least.select("token", F.col("lo.sid").alias("lead"), F.col("lo.n").alias("lead_n")), "token"), "keys")
+    maps = written(sets.where("map IS NOT NULL").select("sid", "n", "map", "place").join(one, ["sid", "place"]), "maps")  # several tasks may show a set
+    rows = sets.where("keys IS NOT NULL").select(F.explode("keys").alias("token"), "sid")
+    least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    rows = written(rows.join(least.select("token", "lead"), "token"), "keys")
 
     def settled(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) that the bitmaps let through."""
@@ -249,16 +254,16 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
         s = arrays_of(docs, place, written(one.join(ids, "sid"), "wanted"), text)
         return written(_pairs_with(pairs, s, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(_by_arrays, "a long, b long"), "links")
 
-    tries = rows.where("sid <> lead AND 4 * n <= 5 * lead_n").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
-    passed = _pairs_with(tries, maps, ["n", "map"]).select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
+    tries = rows.where("sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
     links = settled(passed)
     roots = written(components(links), "roots")
-    labelled = rows.select("token", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", F.coalesce("root", "sid").alias("label")).distinct()
-    rest = _mixed(labelled).join(maps.select("sid", "map"), "sid")
-    order = ["token", "tile.b", "tile.i", "tile.j", "tile.x"]
-    tiles = _tiles(rest).select(*(F.col(c) for c in order), "sid", "n", "label", "band", "map")
-    names = ["token", "b", "i", "j", "x"]
-    dealt = tiles.repartition(*names).sortWithinPartitions(*names)
+    named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "map", F.coalesce("root", "sid").alias("label"))
+    labelled = rows.select("token", "sid").join(named.select("sid", "n", "label"), "sid")
+    rest = written(_mixed(labelled).withColumn("band", _band("n")), "rest")
+    tiles = _tiles(rest).join(maps.select("sid", "map"), "sid")
+    names = ["token", "b", "i", "j"]
+    dealt = tiles.select(*names, "sid", "n", "label", "band", "map").repartition(*names).sortWithinPartitions(*names)
     more = settled(dealt.mapInArrow(_try_tiles, "a long, b long"))
     roots = written(components(links.union(more)), "roots")
     out = sets.select("place", "key", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left")
