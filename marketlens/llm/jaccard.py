@@ -2,7 +2,8 @@
 
 1. A document's set is a sorted array of 64-bit hashes, named by a hash of its own; equal sets are one node from then on.
 2. Sets with that similarity share one of their least |s| - ceil(0.8 |s|) + 1 hashes: these are the tile keys.
-3. In each tile all sets are tried against the least set. What links so is joined to components.
+3. In each tile the sets of which it is one of the first eight keys are tried against the least set. What links so is joined
+   to components.
 4. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other.
 5. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
@@ -28,7 +29,7 @@ from marketlens.llm.common import fresh, written
 from marketlens.llm.graph import components
 
 SHINGLE = 5
-BLOCK, BITS, BLOOM = 1024, 64, 1 << 22
+BLOCK, BITS, BLOOM, EARLY = 1024, 64, 1 << 22, 8
 _MEMO = 1 << 20
 _memo: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -61,9 +62,9 @@ def set_id(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """For each place, whether an odd number of elements falls there. Unrelated sets differ in about half the places, sets
-    that link in 2/9 of |s|: two thirds of |s| places tell them apart."""
+    that link in 2/9 of |s|: four thirds of |s| places tell them apart."""
     bits = BITS
-    while 3 * bits < 2 * len(s):
+    while 3 * bits < 4 * len(s):
         bits *= 2
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -243,7 +244,7 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     sets = written(described(docs, place, key, text), "sets")
     one = sets.where("map IS NOT NULL").groupBy("sid").agg(F.min("place").alias("place"))
     maps = written(sets.where("map IS NOT NULL").select("sid", "n", "map", "place").join(one, ["sid", "place"]), "maps")  # several tasks may show a set
-    rows = sets.where("keys IS NOT NULL").select(F.explode("keys").alias("token"), "sid")
+    rows = sets.where("keys IS NOT NULL").select(F.posexplode("keys").alias("early", "token"), "sid").withColumn("early", F.col("early") < EARLY)
     least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
     rows = written(rows.join(least.select("token", "lead"), "token"), "keys")
 
@@ -254,7 +255,7 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
         s = arrays_of(docs, place, written(one.join(ids, "sid"), "wanted"), text)
         return written(_pairs_with(pairs, s, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(_by_arrays, "a long, b long"), "links")
 
-    tries = rows.where("sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    tries = rows.where("early AND sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
     passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
     links = settled(passed)
     roots = written(components(links), "roots")

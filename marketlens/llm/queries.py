@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import jaccard, media, mixing, packing, quality, sharding, warc
+from marketlens.llm import jaccard, media, mixing, packing, pii, quality, sharding, warc
 from marketlens.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -42,7 +46,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op5_mixing, op6_sharding, op8_warc, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op5_mixing, op6_sharding, op7_pii, op8_warc, op10_jaccard_join)
 }
 
 _OP5 = """
