@@ -2,8 +2,9 @@
 
 A text is its words, each with the space mark before it, and an end. Every piece of the vocabulary that matches is an edge of
 a word's lattice, a character without a piece has an edge of its bytes, and the forward recursion in log space adds up all
-paths. The vocabulary's scores give the first weights; two passes of expectation over all training words turn them into
-piece probabilities, smoothed towards the first. Weights of all pieces and the end sum to 1, so texts have proper probabilities.
+paths. The vocabulary's scores give the first weights; two passes of expectation over all distinct training words turn them
+into piece probabilities, smoothed towards the first. One more edge spans a word that occurs in training, with its count less
+a discount over all tokens; what the discounts leave weighs the paths through pieces. So the sum over all texts is at most 1.
 
 Words are counted by Spark. Each distinct word is scored once; the most frequent (2^17 at most, whatever the corpus) go to all
 tasks, the others join by hash.
@@ -56,12 +57,11 @@ class Pieces:
                 self.by_length[n] = h[order], np.array([self.at[own[i]] for i in order])
         self.logp = np.log10(self.first)
 
-    def learn(self, expected: np.ndarray, ends: int) -> float:
-        """Piece weights from expected counts; returns log10 of the end's."""
+    def learn(self, expected: np.ndarray, ends: int) -> None:
+        """Piece weights from expected counts."""
         counts = expected + SMOOTH * self.first
         total = counts.sum() + max(ends, 1)
         self.logp = np.log10(counts / total)
-        return math.log10(max(ends, 1) / total)
 
     def edges(self, cp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length from 1: (log10 weight, index of the piece or -1) of the pieces that begin at each place of each row."""
@@ -215,24 +215,22 @@ def _texts(column: pa.Array) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in column.to_pylist()]
 
 
-def fit(words: DataFrame, pieces: Pieces, ends: int) -> float:
+def fit(words: DataFrame, pieces: Pieces, ends: int) -> None:
     """Trains the piece weights on all training words; what comes to the driver is one row for each piece at most."""
-    log_end = 0.0
     for _ in range(PASSES):
         shared = words.sparkSession.sparkContext.broadcast(pieces)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = 0
             for batch in batches:
-                total = total + shared.value.expect(_texts(batch.column(0)), batch.column(1).to_numpy().astype(float))
+                total = total + shared.value.expect(_texts(batch.column(0)), np.ones(batch.num_rows))
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(np.atleast_1d(total)[at].astype(float))], names=["piece", "e"])
 
-        sums = words.where("c > 0").select("word", "c").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
+        sums = words.where("c > 0").select("word").mapInArrow(run, "piece int, e double").groupBy("piece").agg(F.sum("e").alias("e")).toArrow()
         expected = np.zeros(len(pieces.logp))
         expected[sums["piece"].to_numpy()] = sums["e"].to_numpy()
-        log_end = pieces.learn(expected, ends)
-    return log_end
+        pieces.learn(expected, ends)
 
 
 def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,15 +243,19 @@ def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     docs = docs.withColumn(held, F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 10 == 0)
     words = written(word_counts(docs, held, text), "words")
     ends = docs.where(~F.col(held)).count()
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n, v = n + ends, v + (ends > 0)
+    n, v, n1, n2 = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    spread = discount * v / (n + ends) if v else 1.0  # what the discounts leave for the paths through pieces
+    train_tokens, n, v = n + ends, max(n + ends, 1), v + (ends > 0)
     pieces = Pieces(path)
-    log_end = fit(words, pieces, ends)
+    fit(words, pieces, ends)
+    log_end = math.log10(max(ends, 0.1) / n)
     model = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lp = model.value.marginal(_texts(batch.column(0)))
+            c = batch.column(1).to_numpy()
+            lp = np.log10(np.maximum(c - discount, 0) / n + spread * 10 ** np.maximum(model.value.marginal(_texts(batch.column(0))), -300))
             h = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in batch.column(0).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(h, pa.int64()), pa.array(lp)], names=["word", "c", "m", "h", "lp"])
 
@@ -268,7 +270,7 @@ def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         least = lev
     frequent = words.where(level >= least if least is not None else F.lit(False))
     table = frequent.select("word", "c", "lp").toArrow()
-    zero = 0.1 * (v + 1) + n
+    zero = 0.1 * (v + 1) + train_tokens
     shared = docs.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), table["c"].to_numpy(), table["lp"].to_numpy()))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,5 +297,5 @@ def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     out = rows.drop("rest", "times").join(sums, "place", "left").na.fill(0, ["more_base", "more_lp", "more_known"])
     return out.select(
         F.col("key").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known") + (1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.round(F.col("base") + F.col("more_base") + math.log10((ends + 0.1) / zero), 6).alias("base_score"), F.round(F.col("lp") + F.col("more_lp") + log_end, 6).alias("score"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"), F.round(F.col("base") + F.col("more_base") + math.log10((ends + 0.1) / zero), 6).alias("base_score"), F.round(F.col("lp") + F.col("more_lp") + log_end, 6).alias("score"),
     )

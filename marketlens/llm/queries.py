@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import jaccard, media, mixing, packing, pii, quality, sharding, warc
+from marketlens.llm import jaccard, language, lattice, media, mixing, packing, pii, quality, sharding, warc
 from marketlens.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_figures(images).withColumnRenamed("key", "doc_id").withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents"))
 
@@ -41,12 +45,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op5_mixing, op6_sharding, op7_pii, op8_warc, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op4_language_id, op5_mixing, op6_sharding, op7_pii, op8_warc, op9_lattice_lm, op10_jaccard_join)
 }
 
 _OP5 = """
