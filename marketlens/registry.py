@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketlens.operators import relations, rollups, scoring
+from marketlens.operators.scoring import FLAGSHIP
+
+OPERATORS = [*scoring.OPERATORS, *rollups.OPERATORS, *relations.OPERATORS]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {o.name: o.spark for o in OPERATORS}
+ORACLES: dict[str, str] = {o.name: o.other() for o in OPERATORS}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FLAGSHIP.spark(spark, sf_dir)
