@@ -67,7 +67,7 @@ OPERATORS = [
     Operator("t04_bucket_dedup", f"WITH {BEHAVIOUR} SELECT DISTINCT user_id, kind, @idiv(@micros(ts), 1800000000) AS bucket FROM behaviour WHERE kind = 'view'"),
     Operator("t06_change_tracking", f"WITH {ADS}, a AS (SELECT DISTINCT product_id, advertiser_id FROM ad WHERE first_seen <= {DAY} - {WINDOW} AND last_seen >= {DAY} - {WINDOW}), b AS (SELECT DISTINCT product_id, advertiser_id FROM live) SELECT coalesce(a.product_id, b.product_id) AS product_id, coalesce(a.advertiser_id, b.advertiser_id) AS advertiser_id, CASE WHEN a.product_id IS NULL THEN 'new_ad' WHEN b.product_id IS NULL THEN 'ad_unobserved' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.product_id = b.product_id AND a.advertiser_id = b.advertiser_id"),
     Operator("t10_ttl_expiry", f"WITH {BEHAVIOUR} SELECT user_id, count(*) AS kept FROM behaviour WHERE day > @dayno(DATE '2024-01-31') - CASE kind WHEN 'view' THEN 7 WHEN 'click' THEN 14 ELSE 30 END GROUP BY user_id"),
-    Operator("r01_preference_profile", f"WITH {BEHAVIOUR}, s AS (SELECT user_id, p_type AS category, sum(weight * power(0.5, (@dayno(DATE '2024-01-31') - day) / 30.0)) AS w FROM behaviour JOIN part ON p_partkey = k + 1 GROUP BY user_id, p_type), r AS (SELECT *, max(w) OVER (PARTITION BY user_id) AS peak, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, category) AS place FROM s WHERE w > 0) SELECT user_id, category, round(w / peak, 8) AS share FROM r WHERE place <= 10"),
+    Operator("r01_preference_profile", f"WITH {BEHAVIOUR}, s AS (SELECT user_id, p_type AS category, sum(weight * power(0.5, (@dayno(DATE '2024-01-31') - day) / @dbl(30))) AS w FROM behaviour JOIN part ON p_partkey = k + 1 GROUP BY user_id, p_type), r AS (SELECT *, max(w) OVER (PARTITION BY user_id) AS peak, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, category) AS place FROM s WHERE w > 0) SELECT user_id, category, round(w / peak, 8) AS share FROM r WHERE place <= 10"),
     Operator("r07_first_claim_wins", f"WITH {BEHAVIOUR}, r AS (SELECT k, user_id, event_id, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS n FROM behaviour WHERE kind = 'purchase') SELECT k, user_id, event_id FROM r WHERE n = 1"),
     Operator("v02_vector_top_k", "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS found_id, round(@dot(q.embedding, e.embedding), 5) AS cosine FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, found_id) AS k FROM s) SELECT query_id, found_id, cosine, k FROM r WHERE k <= 10"),
     Operator("f22_url_functions", "SELECT page_id, @extract(url, '^([a-z]+)://', 1) AS scheme, @extract(url, '^https?://([^/?#]+)', 1) AS host, @replace_all(@replace_all(url, '[?#].*$', ''), '^https?://(www\\.|m\\.)?', '') AS landing_key FROM pages"),

@@ -32,7 +32,7 @@ OPERATORS = [
         SELECT product_id, round(min(p), 4) AS low, round(max(p), 4) AS high, round(max(CASE WHEN j = @idiv(m, 2) + 1 THEN p END), 4) AS middle FROM t GROUP BY product_id HAVING max(p) / min(p) <= 6"""),
     Operator("a26_weighted_percentile", f"""WITH {ADS}, c AS (SELECT market, price / quantity AS p, quantity AS w, sum(quantity) OVER (PARTITION BY market ORDER BY price / quantity) AS upto, sum(quantity) OVER (PARTITION BY market) AS total FROM ad)
         SELECT market, round(min(CASE WHEN upto >= .25 * total THEN p END), 4) AS p25, round(min(CASE WHEN upto >= .5 * total THEN p END), 4) AS p50, round(min(CASE WHEN upto >= .75 * total THEN p END), 4) AS p75 FROM c GROUP BY market"""),
-    Operator("a27_decayed_sum", f"WITH {BEHAVIOUR} SELECT user_id, round(sum(weight * power(0.5, (@dayno(DATE '2024-01-31') - day) / 30.0)), 6) AS interest FROM behaviour GROUP BY user_id"),
+    Operator("a27_decayed_sum", f"WITH {BEHAVIOUR} SELECT user_id, round(sum(weight * power(0.5, (@dayno(DATE '2024-01-31') - day) / @dbl(30))), 6) AS interest FROM behaviour GROUP BY user_id"),
     Operator("a28_normalised_top_n", f"WITH {BEHAVIOUR}, s AS (SELECT user_id, sum(weight) AS w FROM behaviour GROUP BY user_id), r AS (SELECT user_id, w, max(w) OVER () AS peak, row_number() OVER (ORDER BY w DESC, user_id) AS k FROM s WHERE w > 0) SELECT user_id, k AS place, round(w / peak, 6) AS share FROM r WHERE k <= 10"),
     Operator("a30_catalogue_metrics", f"WITH {ADS}, p AS (SELECT product_id, count(*) AS n FROM ad GROUP BY product_id) SELECT count(*) AS products, count_if(n = 1) AS single_ad, round(avg(n), 6) AS ads_per_product FROM p"),
     Operator("a31_collector_kpis", "SELECT source, count(*) AS collected, count(DISTINCT text) AS distinct_texts, round(1 - @dbl(count(DISTINCT text)) / count(*), 6) AS duplicate_ratio, count_if(text IS NULL OR text = '') AS empty FROM documents GROUP BY source"),
