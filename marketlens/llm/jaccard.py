@@ -2,7 +2,7 @@
 
 1. A document's set is a sorted array of 64-bit hashes, named by a hash of its own; equal sets are one node from then on.
 2. Sets with that similarity share one of their least |s| - ceil(0.8 |s|) + 1 hashes: these are the tile keys.
-3. In each tile the sets of which it is one of the first eight keys are tried against the least set. What links so is joined
+3. In each tile the sets of which it is one of the first 24 keys are tried against the least set. What links so is joined
    to components.
 4. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other.
@@ -29,7 +29,7 @@ from marketlens.llm.common import fresh, written
 from marketlens.llm.graph import components
 
 SHINGLE = 5
-BLOCK, BITS, BLOOM, EARLY = 1024, 64, 1 << 22, 8
+BLOCK, BITS, BLOOM, EARLY = 1024, 64, 1 << 22, 24
 _MEMO = 1 << 20
 _memo: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
