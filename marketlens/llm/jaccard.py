@@ -5,7 +5,8 @@
 3. In each tile the sets of which it is one of the first 24 keys are tried against the least set. What links so is joined
    to components.
 4. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
-   bounded length, and pairs of different components are tried against each other.
+   bounded length, and pairs of different components are tried against each other: first a spanning forest of each
+   tile's candidates, then, with the components this gives, every pair left, once, in the tile of its least common key.
 5. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
    the sets differ, so bit counts bound the overlap from above. What is left is settled by intersecting the sorted arrays.
 Step 3 only saves work: a pair that step 4 leaves out is known to be connected, so components are exact.
@@ -17,7 +18,8 @@ result; long texts have long arrays, without a cap. Different shingles are told
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,43 +195,76 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return here.select("token", "b", F.explode(wanted).alias("t"), "sid", "n", "label", "band").select("token", "b", "t.i", "t.j", "sid", "n", "label", "band")
 
 
-def _try_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their tiles (token, b, i, j) -> pairs of different labels that the bitmaps let through."""
-    held: list = []
-    last = None
+def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in the order of their tiles (token, b, i, j) -> pairs of different labels that the bitmaps let through.
 
-    def settle(rows: list) -> list[tuple[int, int]]:
+    Without a column keys: only so many of a tile's pairs that they join what its pairs join (stars around rows in an order
+    of the token's own), and a row (token, null) if it has more. With keys, the sorted tokens of each row: all of the tile's
+    pairs whose least common token is this one.
+    """
+    whole = "keys" in names
+
+    def settle(tile: tuple, rows: list) -> list[tuple]:
+        token, b = tile[:2]
         if len({r[2] for r in rows}) < 2:
             return []
         rows.sort(key=lambda r: (r[1], r[0]))
         ids, n, label, band = (np.array([r[k] for r in rows], np.int64) for k in range(4))
         size = min(len(r[4]) for r in rows)
-        maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows])
-        maps, out = maps.view(np.uint64), []
+        maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
         ends = np.searchsorted(n, n * 5 // 4, side="right")
-        for i in range(len(rows) - 1):
-            if band[i] == last[1] and (end := int(ends[i])) > i + 1:  # sizes ascend: a pair's smaller set is in band b
-                if len(at := np.flatnonzero(label[i + 1 : end] != label[i])):
-                    at += i + 1
-                    differ = np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64)
-                    at = at[may_link(int(n[i]), n[at], differ)]
-                    out += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[at].tolist()]
-        return out
-
-    def batch_of(pairs: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        part = label.copy()
+        if whole:
+            upto = [k[: bisect.bisect_right(k, token)] for k in (r[5] for r in rows)]  # never empty: token is the last of each
+            starts = np.cumsum([0, *map(len, upto)])
+            found, at_key = np.unique(np.concatenate([np.array(k, np.int64) for k in upto]), return_inverse=True)
+            mark = np.zeros(len(found), bool)
+        out, more = [], False
+        for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(rows)).tolist() if len(rows) > 8 else range(len(rows)):
+            if band[i] != b or ends[i] <= i + 1:  # sizes ascend: a pair's smaller set is in band b
+                continue
+            end = int(ends[i])
+            at = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+            if not len(at):
+                continue
+            at = at[may_link(int(n[i]), n[at], np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64))]
+            if not len(at):
+                continue
+            if whole:
+                mine = at_key[starts[i] : starts[i + 1] - 1]
+                mark[mine] = True
+                earlier = np.logical_or.reduceat(mark[at_key[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1])
+                mark[mine] = False
+                at = at[~earlier[at - i - 1]]
+            else:
+                parts, first = np.unique(part[at], return_index=True)
+                fresh_part = parts != part[i]
+                more |= int(fresh_part.sum()) < len(at)
+                at, parts = at[first[fresh_part]], parts[fresh_part]
+                part[np.isin(part, parts)] = part[i]
+            out += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[at].tolist()]
+        return [*out, (token, None)] if more else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        last: tuple | None = None
+        for batch in batches:
+            pairs: set = set()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != last:
+                    if len(held) > 1:
+                        pairs.update(settle(last, held))
+                    held, last = [], row[:4]
+                held.append(row[4:])
+            yield _two_columns(list(pairs))
+        if len(held) > 1:
+            yield _two_columns(settle(last, held))
+
+    return run
 
-    for batch in batches:
-        pairs: set = set()
-        for *key, sid, n, label, band, m in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != last:
-                if len(held) > 1:
-                    pairs.update(settle(held))
-                held, last = [], key
-            held.append((sid, n, label, band, m))
-        yield batch_of(list(pairs))
-    if len(held) > 1:
-        yield batch_of(settle(held))
+
+def _two_columns(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -238,6 +273,15 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(several, "token")
 
 
+def _in_tiles(labelled: DataFrame, maps: DataFrame) -> DataFrame:
+    """labelled (token, sid, n, label), maps (sid, map, perhaps keys) -> what _tile_pairs finds in the tiles."""
+    rest = written(_mixed(labelled).withColumn("band", _band("n")), "rest")
+    wide = [c for c in ("map", "keys") if c in maps.columns]
+    names = ["token", "b", "i", "j"]
+    dealt = _tiles(rest).join(maps.select("sid", *wide), "sid").select(*names, "sid", "n", "label", "band", *wide)
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_tile_pairs(wide), "a long, b long")
+
+
 def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """place, key, n, label for every document: label is null without words, and the same for all that links connect."""
     docs = docs.select(place, key, text)
@@ -261,12 +305,15 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     roots = written(components(links), "roots")
     named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "map", F.coalesce("root", "sid").alias("label"))
     labelled = rows.select("token", "sid").join(named.select("sid", "n", "label"), "sid")
-    rest = written(_mixed(labelled).withColumn("band", _band("n")), "rest")
-    tiles = _tiles(rest).join(maps.select("sid", "map"), "sid")
-    names = ["token", "b", "i", "j"]
-    dealt = tiles.select(*names, "sid", "n", "label", "band", "map").repartition(*names).sortWithinPartitions(*names)
-    more = settled(dealt.mapInArrow(_try_tiles, "a long, b long"))
-    roots = written(components(links.union(more)), "roots")
+    tried = written(_in_tiles(labelled, maps), "tried")
+    more = links.union(settled(tried.where("b IS NOT NULL")))
+    roots = written(components(more), "roots")
+    open_ = written(tried.where("b IS NULL").select(F.col("a").alias("token")).distinct().join(rows.select("token", "sid"), "token"), "open")
+    named = maps.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
+    labelled = written(_mixed(open_.join(named, "sid")), "labelled")
+    keys = labelled.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("keys"))
+    rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")))
+    roots = written(components(more.union(rest)), "roots")
     out = sets.select("place", "key", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left")
     return out.select("place", "key", "n", F.coalesce("root", "sid").alias("label"))
 
