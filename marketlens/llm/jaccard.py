@@ -18,7 +18,6 @@ result; long texts have long arrays, without a cap. Different shingles are told
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -214,11 +213,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
         ends = np.searchsorted(n, n * 5 // 4, side="right")
         part = label.copy()
-        if whole:
-            upto = [k[: bisect.bisect_right(k, token)] for k in (r[5] for r in rows)]  # never empty: token is the last of each
-            starts = np.cumsum([0, *map(len, upto)])
-            found, at_key = np.unique(np.concatenate([np.array(k, np.int64) for k in upto]), return_inverse=True)
-            mark = np.zeros(len(found), bool)
+        found = None
         out, more = [], False
         for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(rows)).tolist() if len(rows) > 8 else range(len(rows)):
             if band[i] != b or ends[i] <= i + 1:  # sizes ascend: a pair's smaller set is in band b
@@ -231,6 +226,11 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if not len(at):
                 continue
             if whole:
+                if found is None:
+                    upto = [k[: np.searchsorted(k, token, side="right")] for k in (r[5].values.to_numpy() for r in rows)]  # token is the last of each
+                    starts = np.cumsum([0, *map(len, upto)])
+                    found, at_key = np.unique(np.concatenate(upto), return_inverse=True)
+                    mark = np.zeros(len(found), bool)
                 mine = at_key[starts[i] : starts[i + 1] - 1]
                 mark[mine] = True
                 earlier = np.logical_or.reduceat(mark[at_key[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1])
@@ -250,7 +250,8 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         last: tuple | None = None
         for batch in batches:
             pairs: set = set()
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [c if name == "keys" else c.to_pylist() for name, c in zip(batch.schema.names, batch.columns)]
+            for row in zip(*columns):
                 if row[:4] != last:
                     if len(held) > 1:
                         pairs.update(settle(last, held))
