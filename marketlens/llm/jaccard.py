@@ -173,14 +173,14 @@ def _band(n: str) -> Column:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """rows (token, sid, n, label, band) -> one row for each tile (b, i, j) of token that it goes into.
+    """rows (token, sid, n, label, band, below) -> one row for each tile (b, i, j) of token that it goes into.
 
-    Tile b holds bands b and b + 1, so a row goes into two. Only a band of more than BLOCK rows is cut: its k blocks, and those
+    Tile b holds bands b and b + 1, so a row goes into two; into the lower one only if the token may have rows of that band. Only a band of more than BLOCK rows is cut: its k blocks, and those
     of the next band, meet pairwise in the tiles i <= j of k + (blocks of the next band) blocks.
     """
     counts = rows.groupBy("token", "band").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
     large = counts.select("token", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    here = rows.withColumn("b", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    here = rows.withColumn("b", F.explode(F.when(F.col("below"), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))))
     low = large.select("token", F.col("band").alias("b"), F.col("k").alias("k0"))
     high = large.select("token", (F.col("band") - 1).alias("b"), F.col("k").alias("k1"))
     here = here.join(low.join(high, ["token", "b"], "full"), ["token", "b"], "left").na.fill(1, ["k0", "k1"])
@@ -269,14 +269,20 @@ def _two_columns(pairs: list[tuple]) -> pa.RecordBatch:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that hold more than one label."""
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    return rows.join(several, "token")
+    """The rows of tokens that hold more than one label, with band, and below: whether the token has rows of the band below.
+
+    Bands are noted modulo 64, so a token with sizes more than a millionfold apart may have tiles in vain.
+    """
+    rows = rows.withColumn("band", _band("n"))
+    bands = F.expr("bit_or(shiftleft(1L, pmod(band, 64)))")
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), bands.alias("bands")).where("lo < hi")
+    below = F.expr("shiftright(bands, pmod(band - 1, 64)) & 1 = 1").alias("below")
+    return rows.join(several.select("token", "bands"), "token").select("token", "sid", "n", "label", "band", below)
 
 
 def _in_tiles(labelled: DataFrame, maps: DataFrame) -> DataFrame:
     """labelled (token, sid, n, label), maps (sid, map, perhaps keys) -> what _tile_pairs finds in the tiles."""
-    rest = written(_mixed(labelled).withColumn("band", _band("n")), "rest")
+    rest = written(_mixed(labelled), "rest")
     wide = [c for c in ("map", "keys") if c in maps.columns]
     names = ["token", "b", "i", "j"]
     dealt = _tiles(rest).join(maps.select("sid", *wide), "sid").select(*names, "sid", "n", "label", "band", *wide)
@@ -311,7 +317,7 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     roots = written(components(more), "roots")
     open_ = written(tried.where("b IS NULL").select(F.col("a").alias("token")).distinct().join(rows.select("token", "sid"), "token"), "open")
     named = maps.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
-    labelled = written(_mixed(open_.join(named, "sid")), "labelled")
+    labelled = written(_mixed(open_.join(named, "sid")).select("token", "sid", "n", "label"), "labelled")
     keys = labelled.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("keys"))
     rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")))
     roots = written(components(more.union(rest)), "roots")
