@@ -203,19 +203,17 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     """
     whole = "keys" in names
 
-    def settle(tile: tuple, rows: list) -> list[tuple]:
-        token, b = tile[:2]
-        if len({r[2] for r in rows}) < 2:
-            return []
-        rows.sort(key=lambda r: (r[1], r[0]))
-        ids, n, label, band = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        size = min(len(r[4]) for r in rows)
-        maps = np.stack([narrowed(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
+    def settle(token: int, b: int, ids: np.ndarray, n: np.ndarray, label: np.ndarray, band: np.ndarray, wide: list) -> list[tuple]:
+        order = np.lexsort((ids, n))
+        ids, n, label, band = (x[order] for x in (ids, n, label, band))
+        maps = wide[0].to_pylist()
+        size = min(map(len, maps))
+        maps = np.stack([narrowed(np.frombuffer(maps[k], np.uint8), size) for k in order]).view(np.uint64)
         ends = np.searchsorted(n, n * 5 // 4, side="right")
         part = label.copy()
         found = None
         out, more = [], False
-        for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(rows)).tolist() if len(rows) > 8 else range(len(rows)):
+        for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(n)).tolist() if len(n) > 8 else range(len(n)):
             if band[i] != b or ends[i] <= i + 1:  # sizes ascend: a pair's smaller set is in band b
                 continue
             end = int(ends[i])
@@ -227,7 +225,8 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 continue
             if whole:
                 if found is None:
-                    upto = [k[: np.searchsorted(k, token, side="right")] for k in (r[5].values.to_numpy() for r in rows)]  # token is the last of each
+                    upto = [wide[1][k].values.to_numpy() for k in order.tolist()]
+                    upto = [k[: np.searchsorted(k, token, side="right")] for k in upto]  # token is the last of each
                     starts = np.cumsum([0, *map(len, upto)])
                     found, at_key = np.unique(np.concatenate(upto), return_inverse=True)
                     mark = np.zeros(len(found), bool)
@@ -245,21 +244,30 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             out += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[at].tolist()]
         return [*out, (token, None)] if more else out
 
+    def tiles(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """What the tiles that begin at starts give; those of one label, or without a smaller set of band b, give nothing."""
+        token, b, _, _, ids, n, label, band = (rows.column(k).to_numpy() for k in range(8))
+        ends = np.append(starts[1:], rows.num_rows)
+        worth = np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)
+        worth &= np.logical_or.reduceat(band == b, starts)
+        pairs: set = set()
+        for s, e in zip(starts[worth].tolist(), ends[worth].tolist()):
+            pairs.update(settle(int(token[s]), int(b[s]), *(x[s:e] for x in (ids, n, label, band)), [c.slice(s, e - s) for c in rows.columns[8:]]))
+        return _two_columns(list(pairs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last: tuple | None = None
+        held: pa.RecordBatch | None = None  # the last tile, which may go on in the next batch
         for batch in batches:
-            pairs: set = set()
-            columns = [c if name == "keys" else c.to_pylist() for name, c in zip(batch.schema.names, batch.columns)]
-            for row in zip(*columns):
-                if row[:4] != last:
-                    if len(held) > 1:
-                        pairs.update(settle(last, held))
-                    held, last = [], row[:4]
-                held.append(row[4:])
-            yield _two_columns(list(pairs))
-        if len(held) > 1:
-            yield _two_columns(settle(last, held))
+            if held is not None and batch.num_rows:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if batch.num_rows:
+                places = np.stack([batch.column(k).to_numpy() for k in range(4)])
+                starts = np.append(0, np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1)
+                held = batch.slice(int(starts[-1]))
+                if len(starts) > 1:
+                    yield tiles(batch.slice(0, int(starts[-1])), starts[:-1])
+        if held is not None:
+            yield tiles(held, np.zeros(1, np.int64))
 
     return run
 
