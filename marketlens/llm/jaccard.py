@@ -6,7 +6,8 @@
    to components.
 4. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other: first a spanning forest of each
-   tile's candidates, then, with the components this gives, every pair left, once, in the tile of its least common key.
+   tile's candidates, then, with the components this gives, every pair left of the rows that were in such a pair, once, in
+   the tile of its least common key.
 5. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
    the sets differ, so bit counts bound the overlap from above. What is left is settled by intersecting the sorted arrays.
 Step 3 only saves work: a pair that step 4 leaves out is known to be connected, so components are exact.
@@ -198,7 +199,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     """Rows in the order of their tiles (token, b, i, j) -> pairs of different labels that the bitmaps let through.
 
     Without a column keys: only so many of a tile's pairs that they join what its pairs join (stars around rows in an order
-    of the token's own), and a row (token, null) if it has more. With keys, the sorted tokens of each row: all of the tile's
+    of the token's own), and, for each row that is in a pair left out, a row (sid, null, token). With keys, the sorted tokens of each row: all of the tile's
     pairs whose least common token is this one.
     """
     whole = "keys" in names
@@ -212,7 +213,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         ends = np.searchsorted(n, n * 5 // 4, side="right")
         part = label.copy()
         found = None
-        out, more = [], False
+        out, more = [], np.zeros(len(n), bool)
         for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(n)).tolist() if len(n) > 8 else range(len(n)):
             if band[i] != b or ends[i] <= i + 1:  # sizes ascend: a pair's smaller set is in band b
                 continue
@@ -238,11 +239,13 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             else:
                 parts, first = np.unique(part[at], return_index=True)
                 fresh_part = parts != part[i]
-                more |= int(fresh_part.sum()) < len(at)
+                left_out = np.delete(at, first[fresh_part])
+                if len(left_out):
+                    more[i] = more[left_out] = True
                 at, parts = at[first[fresh_part]], parts[fresh_part]
                 part[np.isin(part, parts)] = part[i]
-            out += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[at].tolist()]
-        return [*out, (token, None)] if more else out
+            out += [(min(x, int(ids[i])), max(x, int(ids[i])), None) for x in ids[at].tolist()]
+        return out + [(x, None, token) for x in ids[more].tolist()]
 
     def tiles(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         """What the tiles that begin at starts give; those of one label, or without a smaller set of band b, give nothing."""
@@ -253,7 +256,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         pairs: set = set()
         for s, e in zip(starts[worth].tolist(), ends[worth].tolist()):
             pairs.update(settle(int(token[s]), int(b[s]), *(x[s:e] for x in (ids, n, label, band)), [c.slice(s, e - s) for c in rows.columns[8:]]))
-        return _two_columns(list(pairs))
+        return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], names=["a", "b", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last tile, which may go on in the next batch
@@ -272,10 +275,6 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _two_columns(pairs: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of tokens that hold more than one label, with band, and below: whether the token has rows of the band below.
 
@@ -294,7 +293,7 @@ def _in_tiles(labelled: DataFrame, maps: DataFrame) -> DataFrame:
     wide = [c for c in ("map", "keys") if c in maps.columns]
     names = ["token", "b", "i", "j"]
     dealt = _tiles(rest).join(maps.select("sid", *wide), "sid").select(*names, "sid", "n", "label", "band", *wide)
-    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_tile_pairs(wide), "a long, b long")
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_tile_pairs(wide), "a long, b long, token long")
 
 
 def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,13 +320,13 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "map", F.coalesce("root", "sid").alias("label"))
     labelled = rows.select("token", "sid").join(named.select("sid", "n", "label"), "sid")
     tried = written(_in_tiles(labelled, maps), "tried")
-    more = links.union(settled(tried.where("b IS NOT NULL")))
+    more = links.union(settled(tried.where("b IS NOT NULL").select("a", "b")))
     roots = written(components(more), "roots")
-    open_ = written(tried.where("b IS NULL").select(F.col("a").alias("token")).distinct().join(rows.select("token", "sid"), "token"), "open")
+    open_ = written(tried.where("b IS NULL").select("token", F.col("a").alias("sid")).distinct(), "open")
     named = maps.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
     labelled = written(_mixed(open_.join(named, "sid")).select("token", "sid", "n", "label"), "labelled")
     keys = labelled.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("keys"))
-    rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")))
+    rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")).select("a", "b"))
     roots = written(components(more.union(rest)), "roots")
     out = sets.select("place", "key", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left")
     return out.select("place", "key", "n", F.coalesce("root", "sid").alias("label"))
