@@ -199,7 +199,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     """Rows in the order of their tiles (token, b, i, j) -> pairs of different labels that the bitmaps let through.
 
     Without a column keys: only so many of a tile's pairs that they join what its pairs join (stars around rows in an order
-    of the token's own), and, for each row that is in a pair left out, a row (sid, null, token). With keys, the sorted tokens of each row: all of the tile's
+    of the token's own), and, for each row that is in a pair left out, a row (sid, null, token). With keys, the sorted tokens of each row up to the tile's: all of the tile's
     pairs whose least common token is this one.
     """
     whole = "keys" in names
@@ -226,8 +226,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 continue
             if whole:
                 if found is None:
-                    upto = [wide[1][k].values.to_numpy() for k in order.tolist()]
-                    upto = [k[: np.searchsorted(k, token, side="right")] for k in upto]  # token is the last of each
+                    upto = [wide[1][k].values.to_numpy() for k in order.tolist()]  # token is the last of each
                     starts = np.cumsum([0, *map(len, upto)])
                     found, at_key = np.unique(np.concatenate(upto), return_inverse=True)
                     mark = np.zeros(len(found), bool)
@@ -293,6 +292,8 @@ def _in_tiles(labelled: DataFrame, maps: DataFrame) -> DataFrame:
     wide = [c for c in ("map", "keys") if c in maps.columns]
     names = ["token", "b", "i", "j"]
     dealt = _tiles(rest).join(maps.select("sid", *wide), "sid").select(*names, "sid", "n", "label", "band", *wide)
+    if "keys" in wide:  # only those up to the tile's own are looked at
+        dealt = dealt.withColumn("keys", F.slice("keys", 1, F.array_position("keys", F.col("token")).cast("int")))
     return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_tile_pairs(wide), "a long, b long, token long")
 
 
