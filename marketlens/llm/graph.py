@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import written
+from marketlens.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        before, e = now, written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        small = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        discard(e, large)
+        before, e = now, small
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import fresh, written
+from marketlens.llm.common import discard, fresh, written
 from marketlens.llm.graph import components
 
 SHINGLE = 5
@@ -303,16 +303,22 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     sets = written(described(docs, place, key, text), "sets")
     one = sets.where("map IS NOT NULL").groupBy("sid").agg(F.min("place").alias("place"))
     maps = written(sets.where("map IS NOT NULL").select("sid", "n", "map", "place").join(one, ["sid", "place"]), "maps")  # several tasks may show a set
+    one = maps.select("sid", "place")
     rows = sets.where("keys IS NOT NULL").select(F.posexplode("keys").alias("early", "token"), "sid").withColumn("early", F.col("early") < EARLY)
+    named_sets = written(sets.select("place", "key", "sid", "n"), "documents")
     least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
     rows = written(rows.join(least.select("token", "lead"), "token"), "keys")
+    discard(sets)
 
     def settled(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) that the bitmaps let through."""
         pairs = written(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        s = arrays_of(docs, place, written(one.join(ids, "sid"), "wanted"), text)
-        return written(_pairs_with(pairs, s, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(_by_arrays, "a long, b long"), "links")
+        wanted = written(one.join(ids, "sid"), "wanted")
+        s = arrays_of(docs, place, wanted, text)
+        out = written(_pairs_with(pairs, s, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(_by_arrays, "a long, b long"), "links")
+        discard(pairs, wanted, s)
+        return out
 
     tries = rows.where("early AND sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
     passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
@@ -321,6 +327,7 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "map", F.coalesce("root", "sid").alias("label"))
     labelled = rows.select("token", "sid").join(named.select("sid", "n", "label"), "sid")
     tried = written(_in_tiles(labelled, maps), "tried")
+    discard(rows)
     more = links.union(settled(tried.where("b IS NOT NULL").select("a", "b")))
     roots = written(components(more), "roots")
     open_ = written(tried.where("b IS NULL").select("token", F.col("a").alias("sid")).distinct(), "open")
@@ -329,7 +336,7 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     keys = labelled.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("keys"))
     rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")).select("a", "b"))
     roots = written(components(more.union(rest)), "roots")
-    out = sets.select("place", "key", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left")
+    out = named_sets.join(roots, F.col("sid") == F.col("node"), "left")
     return out.select("place", "key", "n", F.coalesce("root", "sid").alias("label"))
 
 
