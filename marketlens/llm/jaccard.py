@@ -306,8 +306,8 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     one = maps.select("sid", "place")
     rows = sets.where("keys IS NOT NULL").select(F.posexplode("keys").alias("early", "token"), "sid").withColumn("early", F.col("early") < EARLY)
     named_sets = written(sets.select("place", "key", "sid", "n"), "documents")
-    least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    rows = written(rows.join(least.select("token", "lead"), "token"), "keys")
+    least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last")
+    rows = written(rows.join(least.select("token", "lead"), "token").distinct(), "keys")
     discard(sets)
 
     def settled(pairs: DataFrame) -> DataFrame:
