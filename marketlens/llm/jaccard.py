@@ -31,7 +31,7 @@ from marketlens.llm.common import discard, fresh, written
 from marketlens.llm.graph import components
 
 SHINGLE = 5
-BLOCK, BITS, BLOOM, EARLY = 1024, 64, 1 << 22, 24
+BLOCK, BITS, BLOOM, EARLY, MATRIX = 1024, 64, 1 << 22, 24, 1 << 18
 _MEMO = 1 << 20
 _memo: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +78,7 @@ def narrowed(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def may_link(n: int, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
+def may_link(n: int | np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
     """overlap <= (n + m - differ) / 2, and a link needs 9 * overlap >= 4 * (n + m); so differ <= (n + m) / 9."""
     return 9 * differ <= n + m
 
@@ -204,6 +204,20 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     """
     whole = "keys" in names
 
+    def candidates(b: int, n: np.ndarray, label: np.ndarray, band: np.ndarray, ends: np.ndarray, maps: np.ndarray) -> dict[int, np.ndarray]:
+        """Row -> the later rows of other labels that its bitmap lets through, for rows in the order of their sizes."""
+        near = {}
+        rows = np.flatnonzero((band == b) & (ends > np.arange(1, len(n) + 1)))  # sizes ascend: a pair's smaller set is in band b
+        step = max(1, MATRIX // maps.size)
+        for k in range(0, len(rows), step):
+            i = rows[k : k + step, None]
+            j = np.arange(i[0, 0] + 1, ends[i[-1, 0]])
+            hit = (j > i) & (j < ends[i]) & (label[j] != label[i])
+            hit &= may_link(n[i], n[j], np.bitwise_count(maps[j] ^ maps[i]).sum(2, dtype=np.int64))
+            for x in np.flatnonzero(hit.any(1)).tolist():
+                near[int(i[x, 0])] = j[hit[x]]
+        return near
+
     def settle(token: int, b: int, ids: np.ndarray, n: np.ndarray, label: np.ndarray, band: np.ndarray, wide: list) -> list[tuple]:
         order = np.lexsort((ids, n))
         ids, n, label, band = (x[order] for x in (ids, n, label, band))
@@ -214,16 +228,11 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         part = label.copy()
         found = None
         out, more = [], np.zeros(len(n), bool)
-        for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(n)).tolist() if len(n) > 8 else range(len(n)):
-            if band[i] != b or ends[i] <= i + 1:  # sizes ascend: a pair's smaller set is in band b
-                continue
-            end = int(ends[i])
-            at = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
-            if not len(at):
-                continue
-            at = at[may_link(int(n[i]), n[at], np.bitwise_count(maps[at] ^ maps[i]).sum(1, dtype=np.int64))]
-            if not len(at):
+        near = candidates(b, n, label, band, ends, maps)
+        for i in np.random.default_rng(token & 0xFFFFFFFF).permutation(len(n)).tolist() if len(n) > 8 else list(near):
+            if i not in near:
                 continue
+            at, end = near[i], int(ends[i])
             if whole:
                 if found is None:
                     upto = [wide[1][k].values.to_numpy() for k in order.tolist()]  # token is the last of each
