@@ -30,8 +30,9 @@ PATTERNS = {
     "card": r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?!-?[0-9])" + _E,
 }
 UNION = _B + "(?:" + "|".join(PATTERNS.values()) + ")"
-#: Quick test: what no candidate can do without (a mail sign or four digits of a number, with separators).
-QUICK = r"@|[0-9](?:[ .()\-]{0,2}[0-9]){6}|[0-9a-fA-F]{32}"
+#: Quick test: what no candidate can do without (a mail sign, seven digits of a number with separators, a token's first 32 digits,
+#: or the shapes of an address and of an IBAN, which can have fewer digits).
+QUICK = r"@|[0-9](?:[ .()\-]{0,2}[0-9]){6}|[0-9a-fA-F]{32}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
