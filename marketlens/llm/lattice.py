@@ -233,6 +233,13 @@ def fit(words: DataFrame, pieces: Pieces, ends: int) -> None:
         pieces.learn(expected, ends)
 
 
+def blended(c: np.ndarray, marginal: np.ndarray, n: int, discount: float, spread: float) -> np.ndarray:
+    """log10 of each word's discounted share plus `spread` times its paths through pieces, in log space: long words have no floor."""
+    paths, counted = math.log10(spread) + marginal, c > discount
+    own = np.log10(np.where(counted, c - discount, 1.0) / n)
+    return np.where(counted, _log_add(own, paths), paths)
+
+
 def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if path is None:
@@ -255,7 +262,7 @@ def scored(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column(1).to_numpy()
-            lp = np.log10(np.maximum(c - discount, 0) / n + spread * 10 ** np.maximum(model.value.marginal(_texts(batch.column(0))), -300))
+            lp = blended(c, model.value.marginal(_texts(batch.column(0))), n, discount, spread)
             h = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in batch.column(0).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(h, pa.int64()), pa.array(lp)], names=["word", "c", "m", "h", "lp"])
 
