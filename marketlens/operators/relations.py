@@ -31,9 +31,11 @@ OPERATORS = [
     Operator("j09_token_set_pairs", "WITH t AS (SELECT p_partkey AS id, concat(p_brand, '|', p_type) AS key, p_size FROM part), f AS (SELECT *, count(*) OVER (PARTITION BY key, p_size) AS fan FROM t) SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.key = b.key AND a.p_size = b.p_size AND a.id < b.id WHERE a.fan <= 6"),
     Operator("j10_identity_star", "WITH g AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS head FROM part) SELECT head AS a, id AS b FROM g WHERE head < id"),
     Operator("j11_duplicate_ad_star", "WITH g AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha1(text)) AS head FROM documents) SELECT head AS a, id AS b FROM g WHERE head < id"),
-    Operator("j12_hamming_join", """WITH h AS (SELECT p_partkey AS id, @unhex(substring(sha1(p_name), 1, 15)) AS h FROM part),
-        b AS (SELECT id, h, @explode(@split_on('0,1,2,3', ',')) AS band FROM h), k AS (SELECT id, h, band, substring(@str(h + 1000000000000000000), 1 + 4 * CAST(band AS INT), 4) AS key FROM b)
-        SELECT DISTINCT x.id AS a, y.id AS b, bit_count(@xor(x.h, y.h)) AS distance FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.id < y.id WHERE bit_count(@xor(x.h, y.h)) <= 16"""),
+    Operator("j12_hamming_join", """WITH h AS (SELECT DISTINCT p_partkey AS id, @unhex(substring(sha1(p_name), 1, 15)) AS h FROM part), d AS (SELECT DISTINCT h FROM h),
+        n AS (SELECT x.h AS xh, y.h AS yh, bit_count(@xor(x.h, y.h)) AS distance FROM d x JOIN d y ON bit_count(@xor(x.h, y.h)) <= 16)
+        SELECT DISTINCT x.id AS a, y.id AS b, distance FROM n JOIN h x ON x.h = n.xh JOIN h y ON y.h = n.yh WHERE x.id < y.id""",
+        check="""WITH h AS (SELECT p_partkey AS id, @unhex(substring(sha1(p_name), 1, 15)) AS h FROM part)
+        SELECT DISTINCT x.id AS a, y.id AS b, bit_count(@xor(x.h, y.h)) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(@xor(x.h, y.h)) <= 16"""),
     Operator("j16_blocked_jaccard", """WITH t AS (SELECT p_partkey AS id, p_brand AS brand, @list_distinct(@words(lower(p_name))) AS w FROM part)
         SELECT a.id AS a, b.id AS b, round(@dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))), 6) AS jaccard FROM t a JOIN t b ON a.brand = b.brand AND a.id < b.id
         WHERE @dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))) >= 0.6 AND a.id <= 200 AND b.id <= 200""".replace(" AND a.id <= 200 AND b.id <= 200", "")),
