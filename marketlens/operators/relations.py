@@ -55,7 +55,7 @@ OPERATORS = [
     Operator("w08_first_appearance", f"WITH {ADS}, f AS (SELECT market, product_id, min(first_seen) AS since FROM ad GROUP BY market, product_id) SELECT market, count(*) AS products, count_if(since > {DAY} - {WINDOW}) AS new_products FROM f GROUP BY market"),
     Operator("w09_rank_gap_test", f"WITH {ADS}, c AS (SELECT product_id, market, count(*) AS n FROM ad GROUP BY product_id, market), r AS (SELECT product_id, market, n, row_number() OVER o AS k, lead(n) OVER o AS second FROM c WINDOW o AS (PARTITION BY product_id ORDER BY n DESC, market)) SELECT product_id, market, n - coalesce(second, 0) >= 2 AS accepted FROM r WHERE k = 1"),
     Operator("w10_top_k_per_group", f"WITH {ADS}, c AS (SELECT advertiser_id, product_id, count(*) AS n FROM ad GROUP BY advertiser_id, product_id), r AS (SELECT *, row_number() OVER (PARTITION BY advertiser_id ORDER BY n DESC, product_id) AS k FROM c) SELECT advertiser_id, product_id, n, k FROM r WHERE k <= 3"),
-    Operator("w11_exploration_slots", "WITH r AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k, row_number() OVER (ORDER BY sha1(concat('u1:2024-01-31:', @str(p_partkey)))) AS e FROM part), slots AS (SELECT id, CASE WHEN e <= 100 THEN e * 5 ELSE k + @idiv(k - 1, 4) END AS slot, e <= 100 AS explored FROM r) SELECT id, row_number() OVER (ORDER BY slot, explored DESC, id) AS place, explored FROM slots"),
+    Operator("w11_exploration_slots", "WITH n AS (SELECT p_partkey AS id, p_retailprice AS score, row_number() OVER (ORDER BY sha1(concat('u1:2024-01-31:', @str(p_partkey)))) AS e, @idiv((count(*) OVER () + 2), 5) AS picks FROM part), r AS (SELECT id, e, e <= picks AS explored, row_number() OVER (PARTITION BY e <= picks ORDER BY score DESC, id) AS k FROM n), slots AS (SELECT id, CASE WHEN explored THEN e * 5 ELSE k + @idiv((k - 1), 4) END AS slot, explored FROM r) SELECT id, row_number() OVER (ORDER BY slot, explored DESC, id) AS place, explored FROM slots"),
     Operator("w15_time_buckets", "SELECT @str(@week(ts)) AS week, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, event_type"),
     Operator("w16_period_comparison", f"WITH {ADS} SELECT market, count_if(first_seen > {DAY} - {WINDOW}) AS now_, count_if(first_seen > {DAY} - 2 * {WINDOW} AND first_seen <= {DAY} - {WINDOW}) AS before FROM ad GROUP BY market"),
     Operator("w18_running_budget_trim", "WITH c AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM documents) SELECT doc_id, source FROM c WHERE upto - n_chars < 5000"),
