@@ -24,6 +24,8 @@ MACROS = {
     "explode": ("explode($1)", "unnest($1)"),
     "intersect": ("array_intersect($1, $2)", "list_intersect($1, $2)"),
     "list_distinct": ("array_distinct($1)", "list_distinct($1)"),
+    "list_sort": ("array_sort($1)", "list_sort($1)"),
+    "word_only": (r"regexp_replace(lower($1), '(?U)\\W+', ' ')", r"regexp_replace(lower($1), '[^\p{L}\p{N}_]+', ' ', 'g')"),
     "list_len": ("size($1)", "len($1)"),
     "sorted_join": ("array_join(array_sort(collect_set($1)), ',')", "array_to_string(list_sort(list(DISTINCT $1)), ',')"),
     "sorted_list": ("sort_array(collect_list($1))", "list_sort(list($1))"),

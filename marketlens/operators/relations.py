@@ -28,8 +28,8 @@ OPERATORS = [
     Operator("j05_exists", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)"),
     Operator("j06_cogroup_by_product", "WITH a AS (SELECT l_partkey AS id, count(*) AS ads, @long(sum(l_quantity)) AS units FROM lineitem GROUP BY l_partkey), b AS (SELECT @json_int(props, '$.k') AS id, count(*) AS events FROM events GROUP BY 1) SELECT p_partkey AS product_id, coalesce(ads, 0) AS ads, coalesce(units, 0) AS units, coalesce(b.events, 0) AS n_events FROM part LEFT JOIN a ON a.id = p_partkey LEFT JOIN b ON b.id = p_partkey"),
     Operator("j08_shared_key_pairs", "WITH k AS (SELECT DISTINCT l_suppkey AS key, l_shipdate AS day, l_partkey AS id FROM lineitem), f AS (SELECT *, count(*) OVER (PARTITION BY key, day) AS fan FROM k) SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON a.key = b.key AND a.day = b.day AND a.id < b.id WHERE a.fan BETWEEN 2 AND 6 AND b.fan BETWEEN 2 AND 6"),
-    Operator("j09_token_set_pairs", "WITH t AS (SELECT p_partkey AS id, concat(p_brand, '|', p_type) AS key, p_size FROM part), f AS (SELECT *, count(*) OVER (PARTITION BY key, p_size) AS fan FROM t) SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.key = b.key AND a.p_size = b.p_size AND a.id < b.id WHERE a.fan <= 6"),
-    Operator("j10_identity_star", "WITH g AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS head FROM part) SELECT head AS a, id AS b FROM g WHERE head < id"),
+    Operator("j09_token_set_pairs", "WITH t AS (SELECT p_partkey AS id, @list_sort(@list_distinct(@words(trim(@word_only(p_name))))) AS w FROM part), f AS (SELECT id, w, count(*) OVER (PARTITION BY w) AS fan FROM t WHERE @list_len(w) >= 2) SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.w = b.w AND a.id < b.id WHERE a.fan <= 6 AND b.fan <= 6"),
+    Operator("j10_identity_star", "WITH g AS (SELECT p_partkey AS id, p_brand AS brand, p_type AS type_, p_size AS size_, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS head, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS fan FROM part) SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.brand = b.brand AND a.type_ = b.type_ AND a.size_ = b.size_ AND a.id < b.id WHERE a.fan <= 40 OR a.id = a.head"),
     Operator("j11_duplicate_ad_star", "WITH g AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha1(text)) AS head FROM documents) SELECT head AS a, id AS b FROM g WHERE head < id"),
     Operator("j12_hamming_join", """WITH h AS (SELECT DISTINCT p_partkey AS id, @unhex(substring(sha1(p_name), 1, 15)) AS h FROM part), d AS (SELECT DISTINCT h FROM h),
         n AS (SELECT x.h AS xh, y.h AS yh, bit_count(@xor(x.h, y.h)) AS distance FROM d x JOIN d y ON bit_count(@xor(x.h, y.h)) <= 16)
