@@ -58,6 +58,9 @@ def visible(page: str) -> str:
         elif name in ("script", "style"):
             skip = name
             continue
+        elif k and not re.match("[A-Za-z/!?]", part):  # no tag: the sign is text
+            out.append(part)
+            continue
         out.append(text if closed else "")
     return entities.unescape(" ".join(out))
 
