@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     The least neighbour comes from a partial aggregation and joins back, so a node with many edges is no hot task.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while (now := _state(e)) != before:
         both = e.union(e.select("b", "a"))
@@ -30,3 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         discard(e, large)
         before, e = now, small
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots (node, root) once more edges (a, b) are there: only the components that an edge joins are worked on again."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    new = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    merged = new.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    old = roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return old.union(new.join(roots, "node", "left_anti").select("node", "root"))

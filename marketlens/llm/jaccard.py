@@ -1,16 +1,20 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, exactly.
 
 1. A document's set is a sorted array of 64-bit hashes, named by a hash of its own; equal sets are one node from then on.
-2. Sets with that similarity share one of their least |s| - ceil(0.8 |s|) + 1 hashes: these are the tile keys.
-3. In each tile the sets of which it is one of the first 24 keys are tried against the least set. What links so is joined
-   to components.
-4. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
+2. Shingles are put in one order for all sets: those that many sets of a task hold come last, by how often they occur, the
+   others by their hash. Sets with that similarity share one of their first |s| - ceil(0.8 |s|) + 1 shingles: their tile keys.
+   Any order is exact; this one keeps common passages out of the keys.
+3. Keys go to ranges of hashes as packed arrays, one shuffle. A range drops the keys that one set alone has, and those whose
+   place rules out every partner: a pair that first meets at place i of a set of n has at most n - i shingles in common.
+   Keys that a task sees in more than CHUNK sets skip the range, so that no key fills one task.
+4. Each set is tried against the least set that one of its keys leads to. What links so is joined to components.
+5. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other: first a spanning forest of each
    tile's candidates, then, with the components this gives, every pair left of the rows that were in such a pair, once, in
    the tile of its least common key.
-5. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
+6. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
    the sets differ, so bit counts bound the overlap from above. What is left is settled by intersecting the sorted arrays.
-Step 3 only saves work: a pair that step 4 leaves out is known to be connected, so components are exact.
+Step 4 only saves work: a pair that step 5 leaves out is known to be connected, so components are exact.
 
 Defined cases: documents without words have the empty set, size 0, and link with nothing, not even each other; a null
 doc_id is no component's name unless it is alone there; repeated rows are equal sets and link; an empty table gives an empty
@@ -28,26 +32,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import discard, fresh, written
-from marketlens.llm.graph import components
+from marketlens.llm.graph import components, extended
 
 SHINGLE = 5
-BLOCK, BITS, BLOOM, EARLY, MATRIX = 1024, 64, 1 << 22, 24, 1 << 18
-_MEMO = 1 << 20
-_memo: dict[bytes, int] = {}
+BLOCK, BITS, MATRIX = 1024, 64, 1 << 18
+#: Sets of a task that make a shingle common, and how many common ones are ordered by their count (the rest by hash alone).
+COMMON, ORDERED = 32, 1 << 18
+#: Keys for each range, keys that a task packs at once, sets of a key that go through a range from one pack.
+RANGE, PACK, CHUNK = 1 << 19, 1 << 19, 256
+SEEN, FILTER_BITS = 1 << 16, 25
 _P = np.uint64(0x9E3779B97F4A7C15)
+_TOKEN = np.uint64((1 << 48) - 1)
 
 
-def shingles(text: str | None) -> np.ndarray:
+class Words(dict):
+    """Hashes of words; keeps 2^16 short ones at most and lives as long as its task, so a reused worker stays small."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 1 << 16 and len(word) <= 32:
+            self[word] = h
+        return h
+
+
+def shingles(text: str | None, memo: Words | None = None) -> np.ndarray:
     """The distinct 5-word shingles as sorted hashes; of fewer words, the whole sequence as one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes lower A-Z alone, and split at the same six bytes
     if not words:
         return np.empty(0, np.uint64)
-    if len(_memo) > _MEMO:
-        _memo.clear()
-    for w in words:
-        if w not in _memo:
-            _memo[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((Words() if memo is None else memo).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     s = np.full(n, min(len(h), SHINGLE), np.uint64)
     for k in range(min(len(h), SHINGLE)):
@@ -64,9 +77,9 @@ def set_id(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """For each place, whether an odd number of elements falls there. Unrelated sets differ in about half the places, sets
-    that link in 2/9 of |s|: four thirds of |s| places tell them apart."""
+    that link in 2/9 of |s| at most: two thirds of |s| places tell them apart."""
     bits = BITS
-    while 3 * bits < 4 * len(s):
+    while 3 * bits < 2 * len(s):
         bits *= 2
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -83,30 +96,187 @@ def may_link(n: int | np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarr
     return 9 * differ <= n + m
 
 
+def n_keys(n: int) -> int:
+    return n - -(-4 * n // 5) + 1
+
+
+class _Seen(set):
+    """The sets that a task has shown; forgets all once there are SEEN, so that a set may be shown again."""
+
+    def new(self, sid: int) -> bool:
+        if sid in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(sid)
+        return True
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def described(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """place, key, sid, n, map, keys: one row for each document; map and keys where the task has not shown the set yet."""
+    """place, key, sid, n, at, map: a row for each document, with a map where the task has not shown the set yet, and at, a
+    hash of the text. Rows of token and times: shingles that COMMON sets or more of one stretch of a task hold."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["place", "key", "sid", "n", "at", "map", "token", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                rows = batch.slice(i, 1024)
-                sid, n, maps, keys = [], [], [], []
-                for x in rows.column(2).to_pylist():
-                    s = shingles(x)
-                    n.append(len(s))
-                    sid.append(set_id(s) if len(s) else None)
-                    new = len(s) > 0 and sid[-1] not in seen
-                    if new:
-                        seen.add(sid[-1])
-                        if len(seen) > _MEMO:
-                            seen.clear()
-                    maps.append(bitmap(s) if new else None)
-                    keys.append(s[: len(s) - -(-4 * len(s) // 5) + 1].view(np.int64) if new else None)
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["place", "key", "sid", "n", "map", "keys"])
+        memo, seen, held, size, schema = Words(), _Seen(), [], 0, None
+
+        def common() -> pa.RecordBatch:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            token, times = token[times >= COMMON].view(np.int64), times[times >= COMMON]
+            none = [pa.nulls(len(token), t) for t in schema.types[:6]]
+            return pa.record_batch([*none, pa.array(token), pa.array(times)], names=names)
+
+        for rows in _slices(batches):
+            sid, n, maps = [], [], []
+            for x in rows.column(2).to_pylist():
+                s = shingles(x, memo)
+                n.append(len(s))
+                sid.append(set_id(s) if len(s) else None)
+                new = len(s) > 0 and seen.new(sid[-1])
+                maps.append(bitmap(s) if new else None)
+                if new:
+                    held.append(s)
+                    size += len(s)
+            none = pa.nulls(rows.num_rows, pa.int64())
+            out = pa.record_batch([rows.column(0), rows.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), rows.column(3), pa.array(maps, pa.binary()), none, none], names=names)
+            schema = out.schema
+            yield out
+            if size > 4 * PACK:
+                yield common()
+                held, size = [], 0
+        if held:
+            yield common()
+
+    columns = docs.select(place, key, text, F.xxhash64(text))
+    return columns.mapInArrow(run, f"place long, key {kind}, sid long, n long, at long, map binary, token long, times long")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """The ORDERED most common shingles at most, rarest first."""
+    top = sets.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(ORDERED)
+    return top.toArrow()["token"].to_numpy()[::-1].view(np.uint64)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Sizes on a scale of 256 steps of 5 per cent, rounded down, so that a <= b gives level a <= level b."""
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(1.05) + 1e-9, 255).astype(np.uint8)
+
+
+def packed_keys(docs: DataFrame, common: np.ndarray, ranges: int, text: str = "text") -> DataFrame:
+    """range, low, high (48 bits of the key), sid, size, most (the largest partner that a key's place allows), lead.
+
+    Packed arrays, one row for each range of a pack. The range is negative, and lead known, for the sets of a key beyond the first CHUNK.
+    """
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int32) + 1))
+
+    def ordered(s: np.ndarray, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            hit = keys[at] == s
+            if hit.any():
+                return s[np.argsort(np.where(hit, rank[at], 0), kind="stable")[: n_keys(len(s))]]
+        return s[: n_keys(len(s))]
+
+    def pack(token: list[np.ndarray], sid: list[int], size: list[int]) -> pa.RecordBatch:
+        counts = np.array([len(t) for t in token])
+        n = np.repeat(np.array(size, float), counts)
+        places = np.concatenate([np.arange(k) for k in counts])
+        t, ids = np.concatenate(token) & _TOKEN, np.repeat(np.array(sid, np.int64), counts)
+        o = np.lexsort((ids, t))
+        o = o[np.append(True, (t[o][1:] != t[o][:-1]) | (ids[o][1:] != ids[o][:-1]))]
+        t, ids, size_, most = t[o], ids[o], _level(n)[o], _level(np.floor(1.25 * n - 2.25 * places + 1e-6))[o]
+        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        runs = np.diff(np.append(starts, len(t)))
+        over = np.arange(len(t)) - np.repeat(starts, runs) > CHUNK  # CHUNK + 1 go through the range, which then drops none of them
+        lead = np.repeat(ids[starts], runs)
+        where = (t % np.uint64(ranges)).astype(np.int64)
+        where[over] = -1 - np.arange(len(t))[over] // CHUNK % ranges
+        o = np.argsort(where, kind="stable")
+        cuts = np.flatnonzero(np.append(True, where[o][1:] != where[o][:-1]))
+        parts = [(t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"), ids, size_, most]
+        cols = [[x.tobytes() for x in np.split(p[o], cuts[1:])] for p in parts]
+        leads = [x.tobytes() if r < 0 else None for r, x in zip(where[o][cuts].tolist(), np.split(lead[o], cuts[1:]))]
+        return pa.record_batch([pa.array(where[o][cuts]), *(pa.array(c, pa.binary()) for c in (*cols, leads))], names=["range", "low", "high", "sid", "size", "most", "lead"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(place, key, text).mapInArrow(run, f"place long, key {kind}, sid long, n long, map binary, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank = shared.value
+        memo, seen, token, sid, size, held = Words(), _Seen(), [], [], [], 0
+        for rows in _slices(batches):
+            for x in rows.column(0).to_pylist():
+                s = shingles(x, memo)
+                if len(s) and seen.new(name := set_id(s)):
+                    token.append(ordered(s, keys, rank))
+                    sid.append(name)
+                    size.append(len(s))
+                    held += len(token[-1])
+            if held >= PACK:
+                yield pack(token, sid, size)
+                token, sid, size, held = [], [], [], 0
+        if token:
+            yield pack(token, sid, size)
+
+    return docs.select(text).mapInArrow(run, "range long, low binary, high binary, sid binary, size binary, most binary, lead binary")
+
+
+def _partnered(starts: np.ndarray, counts: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of runs (starts, counts) have a partner in their run whose size both places allow; long runs are kept whole."""
+    keep = np.repeat(counts > CHUNK, counts)
+    for d in range(1, int(min(counts.max(initial=0), CHUNK + 1))):
+        mine = (counts > d) & (counts <= CHUNK)
+        if not mine.any():
+            break
+        n = counts[mine] - d
+        i = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        ok = i[(size[i + d] <= most[i]) & (size[i] <= most[i + d])]
+        keep[ok] = keep[ok + d] = True
+    return keep
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs in the order of their ranges -> token, sid, lead of the keys that several sets have."""
+    kinds = ("<u4", "<u2", np.int64, np.uint8, np.uint8, np.int64)
+
+    def rows(token: np.ndarray, sid: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(token.astype(np.int64)), pa.array(sid), pa.array(lead)], names=["token", "sid", "lead"])
+
+    def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        low, high, sid, size, most = (np.concatenate([h[k] for h in held]) for k in range(5))
+        token = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        o = np.lexsort((sid, token))
+        token, sid = token[o], sid[o]
+        once = np.append(True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]))
+        o, token, sid = o[once], token[once], sid[once]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        counts = np.diff(np.append(starts, len(token)))
+        several = np.repeat(counts > 1, counts)
+        token, sid, size, most = token[several], sid[several], size[o[several]], most[o[several]]
+        counts = counts[counts > 1]
+        starts = np.cumsum(counts) - counts
+        keep = _partnered(starts, counts, size, most)
+        return rows(token[keep], sid[keep], np.repeat(sid[starts], counts)[keep])
+
+    held, at = [], None
+    for batch in batches:
+        for r, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = [None if x is None else np.frombuffer(x, k) for x, k in zip(raw, kinds)]
+            if r < 0:
+                yield rows(parts[0].astype(np.uint64) | parts[1].astype(np.uint64) << np.uint64(32), parts[2], parts[5])
+                continue
+            if r != at and held:
+                yield settle(held)
+                held = []
+            at = r
+            held.append(parts)
+    if held:
+        yield settle(held)
 
 
 def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -136,30 +306,37 @@ def _by_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2^22 bits, 64 Ki rows to the driver) of the places whose arrays are asked for."""
-    bits = ids.select(F.xxhash64("place").bitwiseAND(BLOOM - 1).alias("bit"))
-    words = bits.selectExpr("shiftright(bit, 5) AS word", "shiftleft(1L, CAST(bit & 31 AS INT)) AS mask")
-    out = np.zeros(BLOOM // 32, np.int64)
-    for word, mask in words.groupBy("word").agg(F.bit_or("mask")).toLocalIterator():
-        out[word] = mask
+def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2^bits places for a column `at` of hashes; 2^25 places at most, half a million rows to the driver."""
+    place = hashes.select(F.col("at").bitwiseAND((1 << bits) - 1).alias("bit"))
+    words = place.selectExpr("shiftright(bit, 5) AS word", "shiftleft(1L, CAST(bit & 31 AS INT)) AS mask")
+    out = np.zeros(1 << bits - 5, np.uint32)
+    for batch in words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
     return out
 
 
-def arrays_of(docs: DataFrame, place: str, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """sid, s: the arrays of the wanted (place, sid) documents, computed anew from the text behind a filter of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+def arrays_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """sid, s: the arrays of the wanted sets (sid, at), computed anew from texts whose hash passes a filter.
+
+    The filter has 16 places for each wanted set up to 2^25; beyond that more texts are read in vain, with the same result. A
+    text is known by the name of its own set, so the order of the rows doesn't matter.
+    """
+    bits = min(max(16, (16 * wanted.count()).bit_length()), FILTER_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = Words(), _Seen()
         for batch in batches:
-            h = batch.column(1).to_numpy()
-            at = np.flatnonzero(shared.value[h >> 5] >> (h & 31) & 1)
-            rows = batch.take(pa.array(at))
-            got = [shingles(x).tobytes() for x in rows.column(2).to_pylist()]
-            yield pa.record_batch([rows.column(0), pa.array(got, pa.binary())], names=["place", "s"])
+            h = batch.column(1).to_numpy() & (1 << bits) - 1
+            hit = batch.filter(pa.array((shared.value[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)))
+            for rows in _slices([hit]):
+                got = [shingles(x, memo) for x in rows.column(0).to_pylist()]
+                got = [(i, s) for s in got if len(s) and seen.new(i := set_id(s))]
+                yield pa.record_batch([pa.array([i for i, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["sid", "s"])
 
-    found = docs.select(place, F.xxhash64(place).bitwiseAND(BLOOM - 1), text).mapInArrow(run, "place long, s binary")
-    return written(found.join(wanted, "place").select("sid", "s"), "arrays")
+    found = docs.select(text, F.xxhash64(text)).mapInArrow(run, "sid long, s binary")
+    return written(found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "arrays")
 
 
 def _pairs_with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -270,7 +447,7 @@ def _tile_pairs(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         held: pa.RecordBatch | None = None  # the last tile, which may go on in the next batch
         for batch in batches:
             if held is not None and batch.num_rows:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                batch = pa.concat_batches([held, batch])
             if batch.num_rows:
                 places = np.stack([batch.column(k).to_numpy() for k in range(4)])
                 starts = np.append(0, np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1)
@@ -310,41 +487,42 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
     """place, key, n, label for every document: label is null without words, and the same for all that links connect."""
     docs = docs.select(place, key, text)
     sets = written(described(docs, place, key, text), "sets")
-    one = sets.where("map IS NOT NULL").groupBy("sid").agg(F.min("place").alias("place"))
-    maps = written(sets.where("map IS NOT NULL").select("sid", "n", "map", "place").join(one, ["sid", "place"]), "maps")  # several tasks may show a set
-    one = maps.select("sid", "place")
-    rows = sets.where("keys IS NOT NULL").select(F.posexplode("keys").alias("early", "token"), "sid").withColumn("early", F.col("early") < EARLY)
-    named_sets = written(sets.select("place", "key", "sid", "n"), "documents")
-    least = rows.groupBy("token").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last")
-    rows = written(rows.join(least.select("token", "lead"), "token").distinct(), "keys")
-    discard(sets)
+    named_sets = sets.where("token IS NULL").select("place", "key", "sid", "n")
+    shown = sets.where("map IS NOT NULL")
+    maps = written(shown.groupBy("sid").agg(F.min("n").alias("n"), F.min("at").alias("at"), F.min("map").alias("map")), "maps")  # several tasks may show a set, with the same map
+    one = maps.select("sid", "at")
+    total = shown.agg(F.coalesce(F.sum(F.expr("n - ceil(0.8D * n) + 1")), F.lit(0))).first()[0]
+    ranges = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // RANGE)
+    packs = packed_keys(docs, common_shingles(sets), ranges, text).repartition("range").sortWithinPartitions("range")
+    rows = written(packs.mapInArrow(_shared, "token long, sid long, lead long"), "keys")
 
     def settled(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) that the bitmaps let through."""
         pairs = written(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         wanted = written(one.join(ids, "sid"), "wanted")
-        s = arrays_of(docs, place, wanted, text)
+        s = arrays_of(docs, wanted, text)
         out = written(_pairs_with(pairs, s, ["s"]).select("a", "b", "s_a", "s_b").mapInArrow(_by_arrays, "a long, b long"), "links")
         discard(pairs, wanted, s)
         return out
 
-    tries = rows.where("early AND sid <> lead").select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    tries = rows.groupBy("sid").agg(F.min("lead").alias("lead")).where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
     links = settled(passed)
     roots = written(components(links), "roots")
-    named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "map", F.coalesce("root", "sid").alias("label"))
-    labelled = rows.select("token", "sid").join(named.select("sid", "n", "label"), "sid")
+    named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
+    labelled = rows.select("token", "sid").distinct().join(named, "sid")
     tried = written(_in_tiles(labelled, maps), "tried")
     discard(rows)
-    more = links.union(settled(tried.where("b IS NOT NULL").select("a", "b")))
-    roots = written(components(more), "roots")
+    roots = written(extended(roots, settled(tried.where("b IS NOT NULL").select("a", "b"))), "roots")
     open_ = written(tried.where("b IS NULL").select("token", F.col("a").alias("sid")).distinct(), "open")
     named = maps.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
     labelled = written(_mixed(open_.join(named, "sid")).select("token", "sid", "n", "label"), "labelled")
     keys = labelled.groupBy("sid").agg(F.sort_array(F.collect_list("token")).alias("keys"))
     rest = settled(_in_tiles(labelled, maps.select("sid", "map").join(keys, "sid")).select("a", "b"))
-    roots = written(components(more.union(rest)), "roots")
+    roots = extended(roots, rest)
     out = named_sets.join(roots, F.col("sid") == F.col("node"), "left")
     return out.select("place", "key", "n", F.coalesce("root", "sid").alias("label"))
 
@@ -352,14 +530,15 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     place = fresh("_place", docs.columns)
-    rows = written(linked(docs.withColumn(place, F.monotonically_increasing_id()), place, key, text), "labels")
+    rows = written(linked(docs.withColumn(place, F.lit(0).cast("long")), place, key, text), "labels")
     names = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component_id"))
     out = rows.join(names, "label", "left")
     return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One document of each group stays, that with the least key (of ties, the first): with the columns of docs, a stored table."""
+    """One document of each group stays, that with the least key (of ties, the first): with the columns of docs, a stored table,
+    whose rows are known by their places in both readings."""
     place = fresh("_place", docs.columns)
     placed = docs.withColumn(place, F.monotonically_increasing_id())
     rows = written(linked(placed, place, key), "labels")
