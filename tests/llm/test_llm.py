@@ -60,18 +60,6 @@ def test_quality_figures_and_whole_results(docs, empty):
     assert quality.keep_good(docs).columns == docs.columns
 
 
-def test_language_model_is_proper_and_matches_counts():
-    texts = ["abc abd abe", "xyz, abc. ABC", "###### abc", ""]
-    s = quality.symbols(texts)
-    real, starts = quality._scored(s)
-    ids = np.concatenate([n[real[i : i + len(n)]] for i, n in quality.grams(s)])
-    gram, n = np.unique(ids, return_counts=True)
-    model = quality.KneserNey.fit(gram, n)
-    for ctx in (gram[0] // 48, gram[-1] // 48, 47 * 48 * 48 + 46 * 48 + 45):
-        assert abs((10 ** model.score(ctx * 48 + np.arange(48))).sum() - 1) < 1e-4
-    assert len(starts) == 4 and np.allclose(model.perplexities(texts)[0], -model.score(ids[: 12]).mean(), atol=1e-5)
-
-
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
