@@ -38,7 +38,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read(spark, sf_dir, "documents"))
+    return pii.report(read(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,16 +163,16 @@ def luhn(s):
 
 def test_pseudonyms(spark, docs, empty):
     texts = ["4111 1111 1111 1111 / 4111111111111111 / 4111111111111112", "1984-02-29 1983-02-29", "10.0.0.1 and 10.0.0.999", "ann.lee7@mail.example.org", "+1 (017) 555-7713", "DE89370400440532013000", "123-45-6789 000-12-3456", None, "", "ver 1.2.3"]
-    got = [r.text for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     a, b, c = got[0].split(" / ")
     assert a.replace(" ", "") == b != texts[0].split(" / ")[1] and luhn(b) and c == "4111111111111112"
     assert got[1].endswith(" 1983-02-29") and not got[1].startswith("1984-02-29") and got[2].endswith("10.0.0.999") and not got[2].startswith("10.0.0.1 ")
     assert got[3].endswith("@mail.example.org") and got[3] != texts[3] and len(got[4]) == len(texts[4]) and got[4] != texts[4]
     moved = "".join(str(int(x, 36)) for x in got[5][4:] + got[5][:4])
     assert int(moved) % 97 == 1 and got[5] != texts[5] and got[6].endswith("000-12-3456") and got[7:] == [None, "", "ver 1.2.3"]
-    assert pii.masked(docs).columns == docs.columns and pii.masked(docs).count() == docs.count() and pii.masked(empty).count() == 0
+    assert pii.masked(docs, "k").columns == docs.columns and pii.masked(docs, "k").count() == docs.count() and pii.masked(empty, "k").count() == 0
     cards = spark.range(1000).selectExpr("id AS doc_id", "concat('4', lpad(CAST(id AS STRING), 14, '0')) AS b").withColumn("text", common.F.concat("b", common.F.pmod(-pii.luhn_sum(common.F.concat("b", common.F.lit("0"))), common.F.lit(10)).cast("string")))
-    assert pii.report(cards).select("text").distinct().count() == 1000
+    assert pii.report(cards, "k").select("text").distinct().count() == 1000
 
 
 def test_warc(spark, tmp_path):

@@ -14,7 +14,7 @@ def test_short_addresses_and_lettered_ibans_alone_in_a_text(spark):
     iban = next(v for k in range(100) if number(v := f"GB{k:02d}NWBKABCDEFGHIJKL") % 97 == 1)
     texts = ["10.0.0.1", "8.8.8.8", "10.1.2.33", "10.0.0.1 ann.lee7@mail.example.org", iban, "1.2.3 and 10.0.0.999", "no value here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [r.text for r in pii.masked(docs).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.masked(docs, "k").orderBy("doc_id").collect()]
     assert all(a != b for a, b in zip(got[:5], texts)) and got[5:] == texts[5:]
     assert got[3].split(" ")[0] == got[0]  # equal values stay linked
 
