@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import written
 
 WINDOW, END = 4096, 2
-_MEMO_WORDS, _MEMO_CHARS = 1 << 20, 48
+_MEMO_WORDS, _MEMO_CHARS = 1 << 16, 32
 _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer and one memo of words for each Python worker; the memo holds at most 2^20 words of 48 bytes."""
+    """One tokenizer for each Python worker, and one memo of 2^16 words of 32 bytes at most, which `forget` empties."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
@@ -36,6 +36,12 @@ def _tokenizer(path: str):
     return _state["tokenizer"], _state["memo"]
 
 
+def forget() -> None:
+    """Empties the memo at the end of a task, so that a reused worker stays small."""
+    if "memo" in _state:
+        _state["memo"].clear()
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, the end token last.
 
@@ -44,9 +50,6 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     tokenizer, memo = _tokenizer(path)
     lines = [x.encode("utf-8", "surrogatepass").split() for x in texts]
     if new := {w for words in lines for w in words if w not in memo}:
-        if len(memo) + len(new) > _MEMO_WORDS:
-            memo.clear()
-            new = {w for words in lines for w in words}
         order = list(new)
         for i in range(0, len(order), 4096):
             part = order[i : i + 4096]
@@ -57,11 +60,19 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     for w in new:
         if len(w) > _MEMO_CHARS:
             del memo[w]
+    if len(memo) > _MEMO_WORDS:
+        memo.clear()
     return out
 
 
+def id_type(path: str) -> str:
+    """16-bit numbers hold all ids of a vocabulary of up to 65,536."""
+    return "<u2" if _tokenizer(path)[0].get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pass one: key, part, inside (tokens of the part before this document), doc_tokens, ids (16-bit where they fit)."""
+    """Pass one: key, part, inside (tokens of the part before this document), doc_tokens, ids (16-bit where the vocabulary fits)."""
+    width = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,21 +86,22 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 rows = batch.slice(i, 512)
                 ids = encoded([x or "" for x in rows.column(1).to_pylist()], path)
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                small = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
                 inside = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.record_batch([rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(inside), pa.array(n), pa.array(small, pa.binary())], names=["key", "part", "inside", "doc_tokens", "ids"])
+        forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, part int, inside long, doc_tokens long, ids binary")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         begins, sizes, ids = (batch.column(i) for i in (1, 2, 3))
         row, start, length, crc, seq, off = [], [], [], [], [], []
         for k, (begin, size, raw) in enumerate(zip(begins.to_pylist(), sizes.to_pylist(), ids)):
-            full = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4")
+            full = np.frombuffer(raw.as_buffer(), width).astype("<u4")
             at = 0
             while at < size:
                 place = begin + at
@@ -113,4 +125,5 @@ def packed(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> Dat
     base = sums.select("part", (F.expr("sum(n) OVER (ORDER BY part)") - F.col("n")).alias("base"))
     placed = rows.join(F.broadcast(base), "part").select("key", (F.col("base") + F.col("inside")).alias("begin"), "doc_tokens", "ids")
     kind = docs.schema[key].dataType.simpleString()
-    return placed.mapInArrow(_cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    width = id_type(path)
+    return placed.mapInArrow(lambda batches: _cut(batches, width), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
