@@ -3,10 +3,11 @@
 Text: likelihoods under hashed letter trigrams, counted over all labelled documents (16,384 places for each language, whatever
 the corpus). Declared language and host: grouped aggregation of the text's posteriors over all pages. A host's prior is
 smoothed towards its domain's, that towards the address suffix's, and that towards all pages'; a page's own text is taken out
-of its host's and domain's sums. The logarithms add up; the largest wins.
+of all these sums and of those for its declared language, so no page is its own evidence twice. The logarithms add up; the
+largest wins. Each language takes 64 KB of the table of likelihoods, and there are 26^2 + 26^3 codes at most.
 
 Defined cases: null or empty html has no text evidence and takes the prior; a null or odd address has the host ''; documents
-without language or text teach nothing; without any labelled document the answer is null; repeated rows count each; ties go
+without a language code or text teach nothing; without any labelled document the answer is null; repeated rows count each; ties go
 to the language first in code point order. Long pages are read whole.
 """
 
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import written
 
-PLACES, LANGUAGES, TEMPER, TRUST = 1 << 14, 256, 0.25, 5.0
+PLACES, TEMPER, TRUST = 1 << 14, 0.25, 5.0
+#: A label is a language where it begins with a code of two or three letters, small or capital; a region after it is left out.
+CODE = r"^([A-Za-z]{2,3})(?:[_\-].*)?$"
+#: Second labels under which countries register hosts: such a domain has three labels (fixed values).
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 _TABLE = np.zeros(0x110000, np.uint32)
 _TABLE[:] = np.arange(0x110000, dtype=np.uint32)
 _TABLE[65:91] += 32
@@ -46,9 +51,12 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def visible(page: str) -> str:
-    """The text of a page: without tags, comments, scripts and styles, entities decoded. One pass from < to <."""
+    """The text of a page: without tags, comments, scripts and styles, entities decoded. One pass from < to <.
+
+    A comment ends at the first -->; one that never ends takes the rest of the page.
+    """
     out, skip = [], ""
-    for k, part in enumerate(page.split("<")):
+    for k, part in enumerate(re.sub(r"<!--.*?(?:-->|\Z)", "<!>", page, flags=re.S).split("<")):
         tag, closed, text = part.partition(">") if k else ("", ">", part)
         name = re.match(r"/?[A-Za-z]*", tag)[0].lower()
         if skip:
@@ -84,15 +92,14 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([code] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "place", "n"])
 
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
-    codes = sorted(r[0] for r in labelled.select(lang).distinct().limit(LANGUAGES + 1).collect())
-    if len(codes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    code = F.lower(F.regexp_extract(lang, CODE, 1))
+    labelled = docs.where(F.col(lang).rlike(CODE) & F.col(text).isNotNull()).select(code.alias("lang"), text)
+    codes = sorted(r[0] for r in labelled.select("lang").distinct().collect())  # bounded by the form of a code
     table = labelled.mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(codes), PLACES), 0.5)
     at = {c: i for i, c in enumerate(codes)}
     np.add.at(counts, ([at[c] for c in table["lang"].to_pylist()], table["place"].to_numpy()), table["n"].to_numpy())
-    return codes, np.log(counts / counts.sum(1, keepdims=True)) if codes else counts
+    return codes, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32) if codes else counts
 
 
 def _host(url: Column) -> Column:
@@ -128,8 +135,9 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = pages.select("page_id", _host(F.col("url")).alias("host"), "html").mapInArrow(evidence, f"page_id {kind}, host string, declared string, logs array<double>, post array<double>")
     rows = written(rows, "evidence")
     labels = F.split("host", r"\.")
+    own = F.when((F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND), 3).otherwise(2)
     hosts = rows.groupBy("host").agg(_sums(k).alias("h"))
-    hosts = hosts.withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")).withColumn("suffix", F.element_at(labels, -1))
+    hosts = hosts.withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - own + 1, F.lit(1)), own), ".")).withColumn("suffix", F.element_at(labels, -1))
     add = lambda c: F.array(*(F.sum(F.element_at(c, i + 1)) for i in range(k)))
     domains = hosts.groupBy("domain", "suffix").agg(add("h").alias("d"))
     suffixes = domains.groupBy("suffix").agg(add("d").alias("s"))
@@ -138,19 +146,21 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     # at most 26^2 + 26^3 declared codes: a table of bounded size for the driver
     codes_said = {r["declared"]: np.array(r["c"]) for r in rows.where("declared IS NOT NULL").groupBy("declared").agg(_sums(k).alias("c")).toLocalIterator()}
     total = sum(codes_said.values(), np.zeros(k)) + 1.0
-    spoken = {c: np.log((n + 1.0 / (len(codes_said) + 1)) / total) for c, n in codes_said.items()}
 
     def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = (everything + 1) / (everything + 1).sum()
         for batch in batches:
             n = batch.num_rows
             logs, post, h, d, s = (np.array(batch.column(i).to_pylist(), float).reshape(n, k) for i in range(3, 8))
             said = batch.column(2).to_pylist()
-            prior = (s + TRUST * top) / (s.sum(1, keepdims=True) + TRUST)
-            for sums in (d, h):
+            prior = np.maximum(everything - post, 0) + 1
+            prior /= prior.sum(1, keepdims=True)
+            for sums in (s, d, h):
                 own = np.maximum(sums - post, 0)
                 prior = (own + TRUST * prior) / (own.sum(1, keepdims=True) + TRUST)
-            all_ = logs + np.log(prior) + np.array([spoken.get(c, np.zeros(k)) for c in said]).reshape(n, k)
+            spoken = np.array([codes_said.get(c, total) for c in said]).reshape(n, k) - post  # without a declared language the ratio is the same for all
+            spoken = np.log((np.maximum(spoken, 0) + 1.0 / (len(codes_said) + 1)) / np.maximum(total - post, 1e-9))
+            spoken[[c is None for c in said]] = 0
+            all_ = logs + np.log(prior) + spoken
             p = np.exp(all_ - all_.max(1, keepdims=True)) if n else all_
             p /= p.sum(1, keepdims=True)
             best = np.argmax(p, 1) if n else []
