@@ -66,7 +66,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 
 def copies() -> Column:
-    return F.col("epochs") + (F.col("hash") <= F.col("threshold")).cast("long")
+    return F.least(F.col("epochs") + (F.col("hash") <= F.col("threshold")).cast("long"), F.lit(MOST).cast("long"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     names = {c: fresh(f"_mix_{c}", columns) for c in ("s", "source_size", "target", "epochs", "threshold")}
     rows = written(docs.select("source", n_words().alias("size"), hash60("doc_id").alias("hash")), "sizes")
     marks = thresholds(rows).withColumnRenamed("source", "s").withColumnsRenamed(names)
-    times = F.col(names["epochs"]) + (hash60("doc_id") <= F.col(names["threshold"])).cast("long")
+    times = F.least(F.col(names["epochs"]) + (hash60("doc_id") <= F.col(names["threshold"])).cast("long"), F.lit(MOST).cast("long"))
     out = docs.join(marks, F.col("source").eqNullSafe(F.col(names["s"])))
     copy = fresh("_mix_copy", columns)
     return out.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*columns)
