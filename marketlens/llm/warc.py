@@ -4,9 +4,9 @@ The writer packs records into archives of bounded size; the reader takes the dic
 frame after frame, and checks the version line, the header fields and all lengths. Of records with equal payloads the one
 with the largest page_id holds the payload; the others are revisit records, which name it and its digest.
 
-Defined cases: null html is an empty payload; null page_ids are least in the order, and rows that tie on page_id and
-payload are ordered by where they stand, so one of them is the response; an empty table gives no archives; a damaged
-archive raises BadArchive. Executors write archives as binary rows of a table in the shared folder, which is also how
+Defined cases: null html is an empty payload; null page_ids are least in the order, and rows that tie on the largest page_id
+of a payload are all responses; where all page_ids of a payload are null, all are responses; a null address is written as
+about:blank and read back so; an empty table gives no archives; a damaged archive raises BadArchive. Executors write archives as binary rows of a table in the shared folder, which is also how
 read_files() hands over files: no task touches a local disk.
 """
 
@@ -27,7 +27,7 @@ from marketlens.llm.common import text_of, written
 #: Fixed by the formats: a skippable frame that holds a dictionary, a frame, a dictionary, profile of revisit records.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_ROWS = 8 << 20, 64 << 10, 256
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_ROWS, FILTER_BITS = 8 << 20, 64 << 10, 256, 24
 NAMESPACE = "urn:marketlens:page:"
 
 
@@ -57,10 +57,20 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadArchive(f"header line {line[:80]!r}")
-        out[name.decode().lower()] = value.strip().decode("utf-8", "surrogatepass")
+        try:
+            out[name.decode("ascii").lower()] = value.strip().decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError as e:
+            raise BadArchive(f"header line {line[:80]!r}") from e
     return out
 
 
+def _length(fields: dict[str, str]) -> int:
+    value = fields.get("content-length", "")
+    if not (value.isascii() and value.isdigit()):
+        raise BadArchive(f"content length {value[:40]!r}")
+    return int(value)
+
+
 def parse(raw: bytes) -> dict:
     """A decoded record as a dict; headers and lengths are validated."""
     head, blank, rest = raw.partition(b"\r\n\r\n")
@@ -70,13 +80,13 @@ def parse(raw: bytes) -> dict:
     f = _fields(lines[1:])
     if missing := {"warc-type", "warc-record-id", "content-length"} - f.keys():
         raise BadArchive(f"missing {missing}")
-    n = int(f["content-length"])
+    n = _length(f)
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise BadArchive("length of the block")
     http, blank, payload = rest[:n].partition(b"\r\n\r\n")
     if not blank or not http.startswith(b"HTTP/1."):
         raise BadArchive("HTTP head")
-    length = int(_fields(http.split(b"\r\n")[1:])["content-length"])
+    length = _length(_fields(http.split(b"\r\n")[1:]))
     digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
     if f["warc-type"] == "response" and (len(payload) != length or digest != digest32(payload)):
         raise BadArchive("payload's length or digest")
@@ -120,17 +130,17 @@ def _frames(data: bytes) -> Iterator[bytes]:
     while at < len(data):
         frame = d.decompressobj()
         try:
-            raw = frame.decompress(view[at : at + (1 << 16)])
+            parts = [frame.decompress(view[at : at + (1 << 16)])]
             end = at + (1 << 16)
             while not frame.eof and end < len(data):
-                raw += frame.decompress(view[end : end + (1 << 20)])
+                parts.append(frame.decompress(view[end : end + (1 << 20)]))
                 end += 1 << 20
         except zstandard.ZstdError as e:
             raise BadArchive(str(e)) from e
         if not frame.eof:
             raise BadArchive("frame cut off")
         at = min(end, len(data)) - len(frame.unused_data)
-        yield raw
+        yield b"".join(parts)
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
@@ -140,15 +150,24 @@ def read_archive(data: bytes) -> Iterator[dict]:
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages -> page_id, url, html, digest, target (page_id of the response), is_revisit.
 
-    The largest page_id of each digest comes from a partial aggregation; its table joins back, and Spark splits hot digests.
+    Narrow rows give the digests that occur twice, with their largest page_id. Pages whose digest a filter of 2^24 places
+    rules out are responses and stay where they are; only the others' payloads go to the join by digest, where Spark splits
+    hot digests. A corpus with more repeated digests than the filter tells apart moves more payloads, with the same result.
     """
     rows = pages.select("page_id", "url", "html", F.sha1(text_of("html").cast("binary")).alias("digest"))
-    rows = rows.withColumn("place", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "place")
-    best = rows.where(F.octet_length(text_of("html")) >= least_bytes).groupBy("digest").agg(F.max(order).alias("best"), F.count("*").alias("n"))
-    best = best.where("n > 1").select("digest", F.col("best.page_id").alias("target"), F.col("best.place").alias("at"))
-    again = F.col("at").isNotNull() & (F.col("at") != F.col("place"))
-    return rows.join(best, "digest", "left").select("page_id", "url", "html", "digest", "target", again.alias("is_revisit"))
+    long_enough = rows.where(F.octet_length(text_of("html")) >= least_bytes)
+    best = long_enough.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n"))
+    best = written(best.where("n > 1").select("digest", "target"), "repeated")
+    place = F.xxhash64("digest").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = best.withColumn("place", place).selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place & 63 AS INT)) AS mask")
+    words = F.broadcast(words.groupBy("word").agg(F.bit_or("mask").alias("mask")))  # 2^18 rows of 16 bytes at most
+    rows = rows.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(words, "word", "left")
+    maybe = F.coalesce(F.expr("shiftright(mask, CAST(place & 63 AS INT)) & 1L"), F.lit(0)) == 1
+    rows = rows.withColumn("maybe", maybe).select("page_id", "url", "html", "digest", "maybe")
+    alone = rows.where("NOT maybe").select("page_id", "url", "html", "digest", F.lit(None).cast(pages.schema["page_id"].dataType).alias("target"), F.lit(False).alias("is_revisit"))
+    again = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
+    shared = rows.where("maybe").join(best, "digest", "left").select("page_id", "url", "html", "digest", "target", again.alias("is_revisit"))
+    return alone.union(shared)
 
 
 def write_archives(planned: DataFrame, dictionary: bytes) -> DataFrame:
