@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WIDTH, PAD = 576, 255
+#: Bytes at the end of a payload that have a checksum of their own (fixed by the contract).
+TAIL = 32
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the format
 GREY, SIDE, LOW = 0, 32, 8
 
@@ -186,7 +188,7 @@ def image_figures(images: DataFrame, errors: str = "raise") -> DataFrame:
                     got.append((None,) * 3 + (len(png), hashlib.sha256(png).hexdigest(), None))
                     continue
                 data = samples.tobytes()
-                got.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)))
+                got.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             cols = [pa.array([x[i] for x in got], t) for i, t in enumerate(kinds)]
             yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "hash"])
