@@ -7,7 +7,7 @@
 3. Keys go to ranges of hashes as packed arrays, one shuffle. A range drops the keys that one set alone has, and those whose
    place rules out every partner: a pair that first meets at place i of a set of n has at most n - i shingles in common.
    Keys that a task sees in more than CHUNK sets skip the range, so that no key fills one task.
-4. Each set is tried against the least set that one of its keys leads to. What links so is joined to components.
+4. Each set is tried against the TRIES least sets that its keys lead to. What links so is joined to components.
 5. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other: first a spanning forest of each
    tile's candidates, then, with the components this gives, every pair left of the rows that were in such a pair, once, in
@@ -40,7 +40,7 @@ BLOCK, BITS, MATRIX = 1024, 64, 1 << 18
 COMMON, ORDERED = 32, 1 << 18
 #: Keys for each range, keys that a task packs at once, sets of a key that go through a range from one pack.
 RANGE, PACK, CHUNK = 1 << 19, 1 << 19, 256
-SEEN, FILTER_BITS = 1 << 16, 25
+SEEN, FILTER_BITS, TRIES = 1 << 16, 25, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = np.uint64((1 << 48) - 1)
 
@@ -77,9 +77,10 @@ def set_id(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """For each place, whether an odd number of elements falls there. Unrelated sets differ in about half the places, sets
-    that link in 2/9 of |s| at most: two thirds of |s| places tell them apart."""
+    that link in 2/9 of |s| at most. With eight thirds of |s| places few elements fall together, so sets just below the bound
+    seldom pass."""
     bits = BITS
-    while 3 * bits < 2 * len(s):
+    while 3 * bits < 8 * len(s):
         bits *= 2
     return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -508,7 +509,8 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
         discard(pairs, wanted, s)
         return out
 
-    tries = rows.groupBy("sid").agg(F.min("lead").alias("lead")).where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    leads = F.slice(F.sort_array(F.collect_set("lead")), 1, TRIES)  # of the set's own keys, so bounded by its length
+    tries = rows.where("sid <> lead").groupBy("sid").agg(leads.alias("leads")).select(F.explode("leads").alias("a"), F.col("sid").alias("b"))
     passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
     links = settled(passed)
     roots = written(components(links), "roots")
