@@ -10,21 +10,26 @@ OPERATORS = [
     Operator("a05_hhi_concentration", f"WITH {FEATURES} SELECT product_id, {_R('advertiser_hhi')} FROM feature"),
     Operator("x01_saturation", f"WITH {SCORES} SELECT product_id, {_R('saturation')}, saturation_state FROM scored"),
     Operator("x03_rarity_velocity", f"WITH {SCORES} SELECT product_id, {_R('rarity')}, {_R('velocity')} FROM scored"),
-    Operator("x06_rare_winner", f"WITH {SCORES} SELECT product_id, round(exp(.5 * ln(greatest(1.0, demand)) + .3 * ln(greatest(1.0, rarity)) + .2 * ln(greatest(1.0, velocity))), 4) AS rare_winner FROM scored"),
-    Operator("x07_confidence", f"WITH {SCORES} SELECT product_id, {_R('confidence')}, CASE WHEN confidence >= 70 THEN 'high' WHEN confidence >= 40 THEN 'medium' ELSE 'low' END AS label FROM scored"),
+    Operator("x02_external_win", f"WITH {SCORES} SELECT product_id, {_R('win')}, CASE WHEN win >= 75 THEN 'Likely Winner' WHEN win >= 60 THEN 'Potential Winner' WHEN win >= 45 THEN 'Mixed Signals' ELSE 'Weak Signals' END AS label FROM scored"),
+    Operator("x05_margin_potential", f"WITH {SCORES} SELECT product_id, margin FROM scored"),
+    Operator("x06_rare_winner", f"WITH {SCORES} SELECT product_id, {_R('rare_winner')} FROM scored"),
+    Operator("x07_confidence", f"WITH {SCORES} SELECT product_id, {_R('confidence')}, CASE WHEN confidence >= 70 THEN 'High' WHEN confidence >= 45 THEN 'Medium' ELSE 'Low' END AS label FROM scored"),
+    Operator("x08_opportunity_v1", f"WITH {SCORES} SELECT product_id, {_R('opportunity_v1')} FROM scored"),
+    Operator("x10_score_bundle", f"WITH {SCORES} SELECT product_id, {_R('win')}, {_R('saturation')}, saturation_state, {_R('rarity')}, {_R('velocity')}, margin, {_R('rare_winner')}, {_R('confidence')}, {_R('novelty')}, {_R('opportunity')} FROM scored"),
+    Operator("x16_evidence_row", f"WITH {SCORES} SELECT product_id, active_ads, unique_ads, longevity_days, advertisers, variants, decision FROM scored"),
     Operator("x11_market_demand", f"WITH {SCORES} SELECT product_id, {_R('demand')} FROM scored"),
     Operator("x12_momentum", f"WITH {SCORES} SELECT product_id, {_R('momentum')} FROM scored"),
     Operator("x15_potential_vector", f"WITH {SCORES} SELECT product_id, {_R('demand')}, {_R('momentum')}, {_R('saturation')}, quadrant, {_R('opportunity')} FROM scored"),
     Operator("x17_decision_ladder", f"WITH {SCORES} SELECT decision, quadrant, count(*) AS products, round(avg(opportunity), 4) AS avg_opportunity FROM scored GROUP BY decision, quadrant"),
     Operator("x18_opportunity_cap", f"WITH {SCORES} SELECT decision, round(max(opportunity), 4) AS highest FROM scored GROUP BY decision"),
     Operator("x20_hidden_winner", f"""WITH {SCORES},
-        checks AS (SELECT product_id, advertisers BETWEEN 1 AND 3 AS few_sellers, longevity_days >= 7 AS lasting, decision <> 'SKIP' AS wanted, momentum >= 20 OR unique_ads >= 2 AS moving, active_ads FROM scored)
-        SELECT product_id, few_sellers, lasting, wanted, moving, CASE WHEN few_sellers AND lasting AND wanted AND moving THEN 'CONFIRMED' WHEN few_sellers AND lasting AND active_ads > 0 THEN 'WATCH' ELSE 'REJECTED' END AS verdict FROM checks"""),
+        checks AS (SELECT product_id, advertisers BETWEEN 1 AND 3 AS few_sellers, longevity_days >= 7 AS lasting, decision <> 'SKIP' AS wanted, new_ads - prev_ads >= 1 AND @dbl(new_ads - prev_ads) / greatest(1, prev_ads) >= 0.2 OR unique_ads >= 2 AS moving, active_ads, advertisers FROM scored)
+        SELECT product_id, few_sellers, lasting, wanted, moving, CASE WHEN few_sellers AND lasting AND wanted AND moving THEN 'CONFIRMED' WHEN NOT wanted OR advertisers > 3 OR active_ads = 0 THEN 'REJECTED' ELSE 'WATCH' END AS verdict FROM checks"""),
     Operator("x23_win_checklist", f"WITH {SCORES} SELECT product_id, CASE WHEN active_ads = 0 THEN 'unknown' WHEN longevity_days >= 30 THEN 'pass' ELSE 'fail' END AS lasting, CASE WHEN advertisers BETWEEN 2 AND 10 THEN 'pass' ELSE 'fail' END AS sellers, CASE WHEN markets >= 2 THEN 'pass' ELSE 'fail' END AS spread, CASE WHEN data_days < 14 THEN 'unknown' WHEN new_ads > prev_ads THEN 'pass' ELSE 'fail' END AS growing FROM scored"),
     Operator("x19_lifecycle", f"""WITH {SCORES},
         s1 AS (SELECT product_id, decision, 'new' AS was, CASE WHEN decision IN ('TEST', 'TEST_NOW') THEN 'testing' WHEN decision = 'WATCH' THEN 'watching' ELSE 'new' END AS step1, demand, active_ads FROM scored)
         SELECT product_id, was, step1, CASE WHEN step1 = 'testing' AND demand >= 70 THEN 'scaling' WHEN step1 = 'watching' AND active_ads = 0 THEN 'retired' ELSE step1 END AS step2 FROM s1"""),
-    Operator("o02_named_sorts", f"WITH {SCORES}, r AS (SELECT product_id, row_number() OVER (ORDER BY opportunity DESC, product_id) AS by_opportunity, row_number() OVER (ORDER BY active_ads DESC, product_id) AS by_ads, row_number() OVER (ORDER BY growth DESC, product_id) AS by_growth FROM scored) SELECT * FROM r WHERE by_opportunity <= 50 OR by_ads <= 50 OR by_growth <= 50"),
+    Operator("o02_named_sorts", f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, product_id, round(@dbl({by}), 4) AS value FROM scored ORDER BY value DESC, product_id LIMIT 50) s_{name}" for name, by in (("opportunity", "opportunity"), ("newest", "-data_days"), ("novelty", "novelty"), ("demand", "demand"), ("ads", "active_ads"), ("growth", "growth"), ("confidence", "confidence")))),
     Operator("p20_discovery_tabs", f"""WITH {SCORES},
         t AS (SELECT 'breakout' AS tab, product_id, opportunity AS s FROM scored WHERE quadrant = 'BREAKOUT' UNION ALL SELECT 'experimental', product_id, momentum FROM scored WHERE quadrant = 'EXPERIMENTAL'
               UNION ALL SELECT 'cash_cow', product_id, demand FROM scored WHERE quadrant = 'STABLE_WINNER' AND longevity_days >= 60 UNION ALL SELECT 'new', product_id, @dbl(new_ads) FROM scored WHERE new_ads > 0 AND prev_ads = 0
