@@ -7,6 +7,7 @@ same query for DuckDB, where it serves as the check.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,3 +96,18 @@ class Operator:
 
     def other(self) -> str:
         return spell(self.check or self.sql, 1)
+
+
+@dataclass(frozen=True)
+class Query:
+    """One query built from DataFrame functions, and the SQL written for it apart from them ('' where SQL can't express it)."""
+
+    name: str
+    build: Callable[[SparkSession, str], DataFrame]
+    check: str = ""
+
+    def spark(self, session: SparkSession, sf_dir: str) -> DataFrame:
+        return self.build(session, sf_dir)
+
+    def other(self) -> str:
+        return self.check

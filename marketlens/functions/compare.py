@@ -1,7 +1,5 @@
 """Comparisons of titles, identities, prices, hashes and vectors."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,12 +16,15 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of two texts, which no built-in function has (F28); for finalists, not for all pairs."""
-    from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, s or "", t or "").ratio() for s, t in zip(x, y)], dtype=float)
+
+    return F.pandas_udf(ratio, "double")(a, b)
 
 
 def title_similarity(a: Column, b: Column, sequence: Column | None = None) -> Column:

@@ -114,7 +114,7 @@ def detected_language(c: Column | str, scripts: dict[str, str], words: dict[str,
     out = F.when(few, "und") if out is None else out.when(few, "und")
     for code, chars in marks.items():
         out = out.when(F.regexp_count(F.lower(t), F.lit(chars)) / letters >= marked, code)
-    counts = {code: F.size(F.filter(tokens, lambda w, own=own: w.isin(*own))) for code, own in words.items()}
+    counts = {code: _hits(tokens, own) for code, own in words.items()}
     most = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
     out = out.when(most == 0, "und")
     for code, n in counts.items():
@@ -122,6 +122,10 @@ def detected_language(c: Column | str, scripts: dict[str, str], words: dict[str,
     return out
 
 
+def _hits(tokens: Column, words: tuple[str, ...]) -> Column:
+    return F.size(F.filter(tokens, lambda w: w.isin(*words)))
+
+
 def host(url: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(_text(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
 

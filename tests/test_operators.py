@@ -32,6 +32,9 @@ def near(a, b):
 @pytest.mark.parametrize("operator", registry.OPERATORS, ids=lambda o: o.name)
 def test_same_rows(operator, spark, sf, other):
     df = operator.spark(spark, sf)
+    if not operator.other():
+        assert df.collect()
+        return
     rel = other.execute(operator.other())
     names = [c[0] for c in rel.description]
     assert sorted(df.columns) == sorted(names)
