@@ -39,7 +39,7 @@ BLOCK, BITS, MATRIX = 1024, 64, 1 << 18
 #: Sets of a task that make a shingle common, and how many common ones are ordered by their count (the rest by hash alone).
 COMMON, ORDERED = 32, 1 << 18
 #: Keys for each range, keys that a task packs at once, sets of a key that go through a range from one pack.
-RANGE, PACK, CHUNK = 1 << 19, 1 << 19, 256
+RANGE, PACK, CHUNK = 1 << 18, 1 << 18, 256
 SEEN, FILTER_BITS, TRIES = 1 << 16, 25, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = np.uint64((1 << 48) - 1)
