@@ -110,7 +110,7 @@ OPERATORS = [
     Query("f11_text_reliability", _docs(lambda: [text.word_count("text").cast("long").alias("words"), text.reliability(text.word_count("text"), F.col("lang")).alias("reliability"), text.needs_text(text.reliability(text.word_count("text"), F.col("lang")), F.col("lang")).alias("needs_text")]), r"WITH w AS (SELECT doc_id, lang, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}'']+')) AS words FROM documents), r AS (SELECT *, CASE WHEN words < 3 THEN 0 ELSE round(least(1.0, words::DOUBLE / 12) * CASE WHEN lang IN ('en', 'vi', 'tl', 'ar') THEN 1.0 WHEN lang <> 'und' THEN 0.5 ELSE 0.6 END, 3) END::DOUBLE AS reliability FROM w) SELECT doc_id, words, reliability, reliability < 0.5 AND lang IN ('en', 'vi', 'tl', 'ar', 'und') AS needs_text FROM r"),
     Query("f10_language_by_shares", _docs(lambda: [text.detected_language("text", SCRIPTS, WORDS, MARKS).alias("detected")])),
     Query("f22_plain_url", lambda s, d: _read(s, d, "pages").select("page_id", text.plain_url("url").alias("plain"), text.without_parameters(F.concat("url", F.when(F.contains(F.col("url"), F.lit("?")), "&").otherwise("?"), F.lit("utm_source=a&id=3&ref=x#top"))).alias("clean"), F.array_join(F.array_sort(text.slug_tokens("url")), " ").alias("slug")),
-          f"WITH u AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, concat(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), '://', regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), regexp_replace(path, '/+$', '')) AS plain, concat(regexp_replace(url, '[?&]ref=[^&#]*', '', 'g'), CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'id=3#top') AS clean, array_to_string(list_sort({_TOKENS.format(_SLUG)}), ' ') AS slug FROM u"),
+          f"WITH u AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '([?&])(ref|utm_[a-z]+)=[^&#]*&?', '\\1', 'g'), '[?&]+$', '') AS c, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, concat(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), '://', regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), regexp_replace(path, '/+$', '')) AS plain, concat(c, CASE WHEN c LIKE '%?%' THEN '&' ELSE '?' END, 'id=3#top') AS clean, array_to_string(list_sort({_TOKENS.format(_SLUG)}), ' ') AS slug FROM u"),
     Query("f23_cross_source_key", lambda s, d: _read(s, d, "pages").select("page_id", text.cross_source_key(F.lit("Ann"), F.col("html"), F.col("url")).alias("key")), r"SELECT page_id, substr(sha1(concat('ann|', substr(regexp_replace(lower(coalesce(html, '')), '[^\p{L}\p{M}\p{N}\p{Pc}]+', '', 'g'), 1, 120), '|', regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1))), 1, 16) AS key FROM pages"),
     Query("f37_date_formats", lambda s, d: _read(s, d, "orders").select("o_orderkey", F.date_format(text.parsed_time(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))), "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day FROM orders"),
     Query("p26_scrub", lambda s, d: _read(s, d, "pages").select("page_id", text.scrubbed(F.concat("url", F.lit("?token=abc&x=1"))).alias("url")), "SELECT page_id, concat(url, '?token=***&x=1') AS url FROM pages"),

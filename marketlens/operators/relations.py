@@ -17,14 +17,14 @@ OPERATORS = [
     Operator("p13_variant_predicate", "SELECT doc_id FROM documents WHERE concat(' ', lower(text)) LIKE '% tion%'"),
     Operator("p14_keyword_tiers", "WITH t AS (SELECT doc_id, source, CASE WHEN lower(text) LIKE '%the of%' THEN 0 WHEN lower(text) LIKE '% the %' AND lower(text) LIKE '% of %' THEN 1 WHEN lower(text) LIKE '% the %' OR lower(text) LIKE '% of %' THEN 2 END AS tier FROM documents) SELECT source, tier, count(*) AS n FROM t WHERE tier IS NOT NULL GROUP BY source, tier"),
     Operator("p16_exclusion_keywords", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%the%' AND NOT lower(text) LIKE '%license%'"),
-    Operator("p17_limited_expansion", "WITH t AS (SELECT doc_id, CASE WHEN text LIKE '%token%' THEN 0 WHEN text LIKE '%@%' THEN 2 END AS tier FROM documents), c AS (SELECT doc_id, tier, count_if(tier < 2) OVER () AS strong FROM t WHERE tier IS NOT NULL) SELECT doc_id, tier FROM c WHERE tier < 2 OR strong < 30"),
+    Operator("p17_limited_expansion", "WITH t AS (SELECT doc_id, CASE WHEN text LIKE '%token%' THEN 0 WHEN text LIKE '%@%' THEN 2 END AS tier FROM documents) SELECT doc_id, tier FROM t WHERE tier < 2 OR (tier = 2 AND (SELECT count(*) FROM t WHERE tier < 2) < 30)"),
     Operator("p25_record_validation", "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'text missing' WHEN lang NOT IN ('en', 'de', 'fr', 'es') THEN 'language' WHEN length(text) < 200 THEN 'short' ELSE 'valid' END AS status FROM documents"),
     Operator("p28_plausible_price", f"WITH {ADS} SELECT CASE WHEN price / quantity < 0.5 THEN 'too low' WHEN price / quantity > 5000 THEN 'too high' ELSE 'plausible' END AS reason, count(*) AS n FROM ad GROUP BY 1"),
     Operator("p29_advertorial", "SELECT page_id, @rlike(url, '/(blog|article|news)/|[?&]page=') AS advertorial FROM pages"),
     Operator("j01_inner_join", f"WITH {ADS} SELECT p_brand AS brand, market, count(*) AS ads FROM ad JOIN part ON p_partkey = product_id GROUP BY p_brand, market"),
     Operator("j02_left_join", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"),
     Operator("j03_semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
-    Operator("j04_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    Operator("j04_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000)"),
     Operator("j05_exists", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49)"),
     Operator("j06_cogroup_by_product", "WITH a AS (SELECT l_partkey AS id, count(*) AS ads, @long(sum(l_quantity)) AS units FROM lineitem GROUP BY l_partkey), b AS (SELECT @json_int(props, '$.k') AS id, count(*) AS events FROM events GROUP BY 1) SELECT p_partkey AS product_id, coalesce(ads, 0) AS ads, coalesce(units, 0) AS units, coalesce(b.events, 0) AS n_events FROM part LEFT JOIN a ON a.id = p_partkey LEFT JOIN b ON b.id = p_partkey"),
     Operator("j08_shared_key_pairs", "WITH k AS (SELECT DISTINCT l_suppkey AS key, l_shipdate AS day, l_partkey AS id FROM lineitem), f AS (SELECT *, count(*) OVER (PARTITION BY key, day) AS fan FROM k) SELECT DISTINCT a.id AS a, b.id AS b FROM f a JOIN f b ON a.key = b.key AND a.day = b.day AND a.id < b.id WHERE a.fan BETWEEN 2 AND 6 AND b.fan BETWEEN 2 AND 6"),
@@ -38,8 +38,12 @@ OPERATORS = [
         SELECT DISTINCT x.id AS a, y.id AS b, bit_count(@xor(x.h, y.h)) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(@xor(x.h, y.h)) <= 16"""),
     Operator("j16_blocked_jaccard", """WITH t AS (SELECT p_partkey AS id, p_brand AS brand, @list_distinct(@words(lower(p_name))) AS w FROM part)
         SELECT a.id AS a, b.id AS b, round(@dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))), 6) AS jaccard FROM t a JOIN t b ON a.brand = b.brand AND a.id < b.id
-        WHERE @dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))) >= 0.6 AND a.id <= 200 AND b.id <= 200""".replace(" AND a.id <= 200 AND b.id <= 200", "")),
-    Operator("j20_as_of_join", f"WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer), r AS (SELECT q.*, o.price, row_number() OVER (PARTITION BY q.product_id, q.advertiser_id, q.asked ORDER BY o.k DESC) AS r FROM q JOIN offer o ON o.product_id = q.product_id AND o.advertiser_id = q.advertiser_id AND o.t <= q.asked) SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM r WHERE r = 1"),
+        WHERE @dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))) >= 0.6"""),
+    Operator("j20_as_of_join", f"""WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer),
+        u AS (SELECT product_id, advertiser_id, t AS at, 0 AS side, k, price FROM offer UNION ALL SELECT product_id, advertiser_id, asked, 1, NULL, NULL FROM q),
+        w AS (SELECT product_id, advertiser_id, at AS asked, side, last_value(price) IGNORE NULLS OVER (PARTITION BY product_id, advertiser_id ORDER BY at, side, k ROWS UNBOUNDED PRECEDING) AS price FROM u)
+        SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM w WHERE side = 1 AND price IS NOT NULL""",
+        check=f"WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer), r AS (SELECT q.*, o.price, row_number() OVER (PARTITION BY q.product_id, q.advertiser_id, q.asked ORDER BY o.k DESC) AS r FROM q JOIN offer o ON o.product_id = q.product_id AND o.advertiser_id = q.advertiser_id AND o.t <= q.asked) SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM r WHERE r = 1"),
     Operator("j21_latest_row_join", f"WITH {_OFFER}, z AS (SELECT *, max(k) OVER (PARTITION BY product_id, advertiser_id) AS last_k FROM offer) SELECT product_id, advertiser_id, t, round(price, 8) AS price FROM z WHERE k = last_k"),
     Operator("j23_range_join", "WITH s AS (SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, count(*) AS later FROM events e JOIN s ON s.user_id = e.user_id AND e.ts >= s.since GROUP BY e.user_id"),
     Operator("j24_parent_roots", """WITH RECURSIVE link AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN @idiv(p_partkey, 3) ELSE p_partkey END AS parent FROM part),

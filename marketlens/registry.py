@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.operators import applied, relations, rollups, scoring
+from marketlens.operators import applied, more, relations, rollups, scoring
 from marketlens.operators.scoring import FLAGSHIP
 
-OPERATORS = [*scoring.OPERATORS, *rollups.OPERATORS, *relations.OPERATORS, *applied.OPERATORS]
+OPERATORS = [*scoring.OPERATORS, *rollups.OPERATORS, *relations.OPERATORS, *applied.OPERATORS, *more.OPERATORS]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {o.name: o.spark for o in OPERATORS}
 ORACLES: dict[str, str] = {o.name: sql for o in OPERATORS if (sql := o.other())}
 
