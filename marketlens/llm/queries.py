@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import jaccard, language, lattice, media, mixing, packing, pii, quality, sharding, warc
+from marketlens.llm import cws, jaccard, language, lattice, media, mixing, packing, pii, quality, sharding, spelling, trie, warc
 from marketlens.llm.common import read
 
 
@@ -53,8 +53,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op4_language_id, op5_mixing, op6_sharding, op7_pii, op8_warc, op9_lattice_lm, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_packing, op3_media_columns, op4_language_id, op5_mixing, op6_sharding, op7_pii, op8_warc, op9_lattice_lm, op10_jaccard_join, op11_conversation_trie, op12_spelling_variants, op13_fingerprints)
 }
 
 _OP5 = """
