@@ -90,6 +90,13 @@ def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("external_id", "landing_page", F.lit("").alias("reason")).union(bad.select("external_id", "landing_page", F.array_join("reasons", ";")))
 
 
+_KEPT = """WITH RECURSIVE o AS (SELECT l_partkey, l_suppkey, l_shipdate AS seen, round(l_extendedprice / l_quantity, 0) AS price FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY seen, price) AS k FROM o),
+    w AS (SELECT l_partkey, l_suppkey, k, seen, price, 1 AS kept FROM n WHERE k = 1 UNION ALL
+          SELECT n.l_partkey, n.l_suppkey, n.k, CASE WHEN x.go THEN n.seen ELSE w.seen END, CASE WHEN x.go THEN n.price ELSE w.price END, x.go::INT
+          FROM w JOIN n ON n.l_partkey = w.l_partkey AND n.l_suppkey = w.l_suppkey AND n.k = w.k + 1,
+               LATERAL (SELECT n.price <> w.price OR epoch_us(n.seen) - epoch_us(w.seen) >= {hours} * 3600000000 AS go) x)
+    SELECT l_partkey, l_suppkey, sum(kept)::BIGINT AS kept FROM w GROUP BY l_partkey, l_suppkey"""
 _TRIM = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}\p{Pc}\s''-]', ' ', 'g'), '\s+', ' ', 'g'))"
 _PLAIN = r"lower(regexp_replace(strip_accents(replace(coalesce({0}, ''), 'ß', 'ss')), '[^\x00-\x7F]', '', 'g'))"
 _RATE = "CASE coalesce(currency, 'USD') WHEN 'USD' THEN 1.0 WHEN 'EUR' THEN 1.08 WHEN 'VND' THEN 0.00004 WHEN 'PHP' THEN 0.018 WHEN 'SAR' THEN 0.27 END::DOUBLE"
@@ -117,8 +124,8 @@ OPERATORS = [
     Query("f16_usd", lambda s, d: _offers(s, d).select("l_orderkey", "l_linenumber", F.round(money.usd(F.col("price"), F.col("currency")), 6).alias("usd"), money.segment(F.col("price"), F.col("currency")).alias("segment"), money.plausible(F.col("price"), F.col("currency"), F.lit("PHP")).alias("doubt")),
           f"WITH {_OFFER}, u AS (SELECT *, price * {_RATE} AS usd FROM o) SELECT l_orderkey, l_linenumber, round(usd, 6) AS usd, CASE WHEN usd < 15 THEN 'budget' WHEN usd < 35 THEN 'mid' WHEN usd < 70 THEN 'upper' WHEN usd IS NOT NULL THEN 'premium' END AS segment, CASE WHEN currency NOT IN ('USD', 'EUR', 'GBP', 'PHP') THEN 'currency' WHEN usd IS NULL THEN 'unknown currency' WHEN usd < 0.5 THEN 'too low' WHEN usd > 5000 THEN 'too high' END AS doubt FROM u"),
     Query("f20_prices_in_text", lambda s, d: _read(s, d, "documents").select("doc_id", money.parsed_price(F.concat(F.lit("only $"), F.col("n_chars").cast("string"), F.lit(".50 now"))).alias("p")).select("doc_id", "p.amount", "p.currency"), "SELECT doc_id, n_chars + 0.5::DOUBLE AS amount, 'USD' AS currency FROM documents"),
-    Query("f39_landed_cost", lambda s, d: _offers(s, d).select("l_orderkey", "l_linenumber", money.landed_cost(F.round("price", 2), F.when(F.col("l_linenumber") % 2 == 0, 4.5), F.col("l_linenumber") < 4).alias("c")).select("l_orderkey", "l_linenumber", "c.value", F.array_join("c.missing", ",").alias("missing")),
-          f"WITH {_OFFER} SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_linenumber < 4 THEN round(round(price, 2) + 4.5, 2) END AS value, concat_ws(',', CASE WHEN l_linenumber % 2 <> 0 THEN 'shipping' END, CASE WHEN l_linenumber >= 4 THEN 'vat_included' END) AS missing FROM o"),
+    Query("f39_landed_cost", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", money.landed_cost(F.col("l_extendedprice"), F.when(F.col("l_linenumber") % 2 == 0, 4.5), F.col("l_linenumber") < 4).alias("c")).select("l_orderkey", "l_linenumber", "c.value", F.array_join("c.missing", ",").alias("missing")),
+          "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_linenumber < 4 THEN (round(l_extendedprice * 100)::BIGINT + 450) / 100.0 END AS value, concat_ws(',', CASE WHEN l_linenumber % 2 <> 0 THEN 'shipping' END, CASE WHEN l_linenumber >= 4 THEN 'vat_included' END) AS missing FROM lineitem"),
     Query("f25_identity_compare", _identity, f"WITH {_PAIR} SELECT p_partkey, CASE WHEN lower(trim(p_brand)) <> lower(trim(brand_b)) THEN false ELSE lower(trim(p_type)) = lower(trim(type_b)) END AS same FROM n"),
     Query("f26_model_numbers", lambda s, d: _neighbours(s, d).select("p_partkey", F.array_join(compare.numeric_models(F.col("p_brand")), " ").alias("models"), compare.compatible_titles(F.col("p_brand"), F.col("brand_b")).alias("compatible")), f"WITH {_PAIR} SELECT p_partkey, array_to_string(list_distinct(regexp_extract_all(lower(p_brand), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b')), ' ') AS models, len(list_filter(regexp_extract_all(lower(p_brand), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b'), lambda m: NOT list_contains(regexp_extract_all(lower(brand_b), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b'), m))) = 0 AS compatible FROM n"),
     Query("f27_set_ratios", lambda s, d: _neighbours(s, d).select("p_partkey", F.round(compare.jaccard(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("jaccard"), F.round(compare.containment(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("containment"), F.round(compare.price_similarity(F.col("price_a"), F.col("price_b")), 6).alias("price_similarity")),
@@ -147,6 +154,6 @@ OPERATORS = [
     Query("s14_landing_facts", lambda s, d: feeds.landing_facts(_read(s, d, "pages").select("page_id", "html")).select("page_id", "title", "price", "currency", "rating")),
     Query("s20_latest_listing", lambda s, d: lake.latest(_offers(s, d).select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber"), ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]), "SELECT l_partkey, l_suppkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1"),
     Query("t08_state_changes", lambda s, d: lake.changes(_read(s, d, "part").where("p_size > 5").select("p_partkey", "p_brand", "p_size"), _read(s, d, "part").where("p_size < 40").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1).alias("p_size")), ["p_partkey"], ["p_brand", "p_size"]), "SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'new' WHEN p_size >= 40 THEN 'gone' WHEN p_size % 2 = 0 THEN 'same' ELSE 'changed' END AS change FROM part"),
-    Query("w03_throttled_snapshot", _throttled(24)),
-    Query("w04_throttled_signal", _throttled(12)),
+    Query("w03_throttled_snapshot", _throttled(24), _KEPT.format(hours=24)),
+    Query("w04_throttled_signal", _throttled(12), _KEPT.format(hours=12)),
 ]

@@ -7,10 +7,14 @@ the former version as it was, and a batch with a known digest changes nothing.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.text import scrubbed
+
 
 def _names(spark: SparkSession, path: str) -> list[str]:
     """The versions of a table, oldest first, of those that were written to their end."""
@@ -50,9 +54,15 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> Dat
     return rows.sparkSession.read.parquet(f"{path}/{name}")
 
 
-def raw(rows: DataFrame, path: str, source: str, day: str) -> None:
-    """Raw records under source and day, compressed JSON; a day written again replaces itself."""
-    rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/source={source}/day={day}")
+def raw(rows: DataFrame, path: str, source: str, day: str, batch: str | None = None) -> str:
+    """Raw records under source, day and batch, compressed JSON with its secrets masked; returns the batch's name.
+
+    A batch is named by its content unless the caller does: written twice it is there once, and no batch of a day touches another.
+    """
+    batch = batch or digest(rows)
+    masked = rows.select(*(F.when(F.col(c).isNotNull(), scrubbed(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes))
+    masked.write.mode("overwrite").option("compression", "gzip").json(f"{path}/source={source}/day={day}/batch={batch}")
+    return batch
 
 
 def snapshot(rows: DataFrame, path: str, day: str) -> None:
@@ -61,7 +71,8 @@ def snapshot(rows: DataFrame, path: str, day: str) -> None:
 
 
 def quarantine(bad: DataFrame, path: str, batch: str) -> None:
-    bad.select("raw", F.array_join("reasons", "; ").alias("reason")).write.mode("overwrite").json(f"{path}/batch={batch}")
+    """Refused records with their reasons, secrets masked."""
+    bad.select(F.when(F.col("raw").isNotNull(), scrubbed("raw")).alias("raw"), F.array_join("reasons", "; ").alias("reason")).write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def digest(rows: DataFrame) -> str:
@@ -85,24 +96,24 @@ def ingest_once(rows: DataFrame, path: str, receipts: str, keys: list[str], orde
 
 def kept_snapshots(rows: DataFrame, keys: list[str], at: str, watched: list[str], hours: float) -> DataFrame:
     """The rows that a throttle keeps: the first of a key, a change of a watched value against the last kept one, or so many hours
-    since it (W03, W04). What is kept depends on what was kept before, which no window can say: one pass over each key's rows.
+    since it (W03, W04). What is kept depends on what was kept before, which no window can say: partitions are sorted by key and
+    time and passed once, with the last kept row as the only state, so neither the number of keys nor a key's rows matter.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([at, *watched], kind="stable")
-        times = part[at].to_numpy()
-        values = list(part[watched].itertuples(index=False, name=None))
-        step = np.timedelta64(int(hours * 3_600_000_000), "us")
-        keep, last = [], None
-        for i in range(len(part)):
-            keep.append(last is None or values[i] != values[last] or times[i] - times[last] >= step)
-            if keep[-1]:
-                last = i
-        return part[keep]
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    step = int(hours * 3_600_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, then = None, None, 0
+        for batch in batches:
+            column = lambda c: batch.column(c).to_pylist()
+            times = batch.column(at).cast(pa.timestamp("us", batch.schema.field(at).type.tz)).cast(pa.int64()).to_pylist()
+            keep = []
+            for k, t, v in zip(zip(*map(column, keys)), times, zip(*map(column, watched))):
+                keep.append(k != key or v != last or (t is not None and then is not None and t - then >= step))
+                if keep[-1]:
+                    key, last, then = k, v, t
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, at, *watched).mapInArrow(run, rows.schema)
 
 
 def changes(before: DataFrame, after: DataFrame, keys: list[str], watched: list[str]) -> DataFrame:

@@ -43,6 +43,10 @@ def test_upserts_receipts_and_snapshots(spark, tmp_path):
         lake.snapshot(first, str(tmp_path / "s"), day)
         lake.raw(first, str(tmp_path / "raw"), "x", day)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6 and spark.read.json(str(tmp_path / "raw")).count() == 6
+    second = spark.createDataFrame([(4, 1, '{"token": "abc", "x": 1}'), (5, 1, None)], first.schema)
+    lake.raw(second, str(tmp_path / "raw"), "x", "2024-01-02")  # a second batch of a day loses nothing, and holds no secret
+    kept = spark.read.json(str(tmp_path / "raw")).collect()
+    assert len(kept) == 8 and {r.v for r in kept if r.id > 3} == {'{"token": "***", "x": 1}', None}
     moved = lake.changes(first.where("at = 1"), spark.createDataFrame([(1, 9, "z"), (3, 1, "c")], first.schema), ["id"], ["v"])
     assert {(r.id, r.change) for r in moved.collect()} == {(1, "changed"), (2, "gone"), (3, "new")}
 
