@@ -186,7 +186,7 @@ def _guarded(spark: SparkSession, sf: str) -> DataFrame:
 
 _J25 = r"""
 WITH n AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY l_partkey),
-m AS (SELECT p_partkey // 4 AS g, p_partkey AS id, p_type, p_retailprice AS price, coalesce(n, 0) AS n, list_sort(list_distinct(regexp_extract_all(lower(p_brand), '(?:[a-z]+-?)?[0-9]+[a-z]*'))) AS models FROM part LEFT JOIN n ON id = p_partkey),
+m AS (SELECT p_partkey // 4 AS g, p_partkey AS id, p_type, p_retailprice AS price, coalesce(n, 0) AS n, list_sort(list_distinct(regexp_extract_all(lower(p_brand), '\b(?:[a-z]+-?)?[0-9]+[a-z]*\b'))) AS models FROM part LEFT JOIN n ON id = p_partkey),
 s AS (SELECT g, sum(n) AS n FROM m GROUP BY g),
 x AS (SELECT a.g AS l, b.g AS r, bool_or(a.p_type <> b.p_type) AS category, bool_or(len(a.models) > 0 AND len(b.models) > 0 AND a.models <> b.models) AS model, bool_or(greatest(a.price, b.price) > 3 * least(a.price, b.price)) AS price
       FROM m a JOIN m b ON b.g = a.g + 1 GROUP BY a.g, b.g)
@@ -195,8 +195,8 @@ FROM x JOIN s u ON u.g = l JOIN s v ON v.g = r
 """
 _E14 = """
 WITH RECURSIVE m AS (SELECT p_partkey AS old, p_partkey // 2 AS new FROM part WHERE p_size % 3 = 0 AND p_partkey // 2 > 0),
-w AS (SELECT p_partkey AS id, p_partkey AS at FROM part UNION ALL SELECT w.id, m.new FROM w JOIN m ON m.old = w.at),
-r AS (SELECT id, min(at) AS root FROM w GROUP BY id)
+w AS (SELECT p_partkey AS id, p_partkey AS head FROM part UNION ALL SELECT w.id, m.new FROM w JOIN m ON m.old = w.head),
+r AS (SELECT id, min(head) AS root FROM w GROUP BY id)
 SELECT l_orderkey, l_linenumber, coalesce(root, l_partkey) AS product_id FROM lineitem LEFT JOIN r ON id = l_partkey
 """
 
