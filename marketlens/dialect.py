@@ -41,6 +41,7 @@ MACROS = {
     "idiv": ("($1 DIV $2)", "($1 // $2)"),
     "str": ("CAST($1 AS STRING)", "CAST($1 AS VARCHAR)"),
     "dbl": ("CAST($1 AS DOUBLE)", "CAST($1 AS DOUBLE)"),
+    "kinds": ("CAST(coalesce(bit_count(bit_or(shiftleft(1L, CAST($1 AS INT)))), 0) AS BIGINT)", "CAST(count(DISTINCT $1) AS BIGINT)"),
     "long": ("CAST($1 AS BIGINT)", "CAST($1 AS BIGINT)"),
 }
 

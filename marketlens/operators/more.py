@@ -17,7 +17,7 @@ OPERATORS = [
     Operator("p22_result_modes", f"WITH {_PRICE}, p AS (SELECT *, min(price) OVER (PARTITION BY product_id) AS lowest FROM o) SELECT product_id, shop_id, ord, line, CASE WHEN price = lowest THEN 'exact' WHEN price <= 1.1 * lowest THEN 'compare_prices' ELSE 'find_suppliers' END AS mode FROM p"),
     Operator("j07_lateral_top_k", f"WITH {_PRICE} SELECT p_partkey, z.shop_id, round(z.price, 6) AS price FROM part, LATERAL (SELECT shop_id, price FROM o WHERE product_id = p_partkey ORDER BY price, shop_id, ord, line LIMIT 2) z",
              check=f"WITH {_PRICE}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, shop_id, ord, line) AS k FROM o) SELECT p_partkey, shop_id, round(price, 6) AS price FROM part JOIN r ON product_id = p_partkey WHERE k <= 2"),
-    Operator("j15_identity_join", f"WITH {ADS}, i AS (SELECT advertiser_id, min(advertiser) AS name FROM ad GROUP BY advertiser_id) SELECT s_suppkey, i.name FROM supplier LEFT JOIN i ON i.advertiser_id = s_suppkey OR (i.advertiser_id IS NULL AND i.name = s_name)", check=f"WITH {ADS}, i AS (SELECT advertiser_id, min(advertiser) AS name FROM ad GROUP BY advertiser_id) SELECT s_suppkey, i.name FROM supplier LEFT JOIN i ON i.advertiser_id = s_suppkey"),
+    Operator("j15_identity_join", f"WITH {ADS}, i AS (SELECT advertiser_id, min(advertiser) AS name FROM ad GROUP BY advertiser_id), k AS (SELECT advertiser_id, name FROM i WHERE advertiser_id IS NOT NULL), u AS (SELECT name FROM i WHERE advertiser_id IS NULL), m AS (SELECT s_suppkey, k.name FROM supplier JOIN k ON k.advertiser_id = s_suppkey UNION ALL SELECT s_suppkey, u.name FROM supplier JOIN u ON u.name = s_name) SELECT z.s_suppkey, m.name FROM supplier z LEFT JOIN m ON m.s_suppkey = z.s_suppkey", check=f"WITH {ADS}, i AS (SELECT advertiser_id, min(advertiser) AS name FROM ad GROUP BY advertiser_id) SELECT s_suppkey, i.name FROM supplier LEFT JOIN i ON i.advertiser_id = s_suppkey"),
     Operator("j17_substring_join", "WITH b AS (SELECT DISTINCT lower(p_brand) AS brand FROM part), w AS (SELECT DISTINCT page_id, @explode(@words(trim(@word_only(html)))) AS word FROM pages) SELECT page_id, count(*) AS brands FROM w JOIN b ON b.brand = w.word OR b.brand = concat('brand#', w.word) GROUP BY page_id",
              check="WITH b AS (SELECT DISTINCT lower(p_brand) AS brand FROM part), w AS (SELECT DISTINCT page_id, word FROM (SELECT page_id, @explode(@words(trim(@word_only(html)))) AS word FROM pages)) SELECT page_id, count(*) AS brands FROM w JOIN b ON b.brand = w.word OR b.brand = concat('brand#', w.word) GROUP BY page_id"),
     Operator("j18_text_candidates", f"WITH {_TITLE}, e AS (SELECT id, brand, @explode(w) AS token FROM t), c AS (SELECT brand, token, count(*) AS fan FROM e GROUP BY brand, token) SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN c ON c.brand = a.brand AND c.token = a.token AND c.fan BETWEEN 2 AND 30 JOIN e b ON b.brand = a.brand AND b.token = a.token AND b.id > a.id GROUP BY a.id, b.id HAVING count(*) >= 2"),

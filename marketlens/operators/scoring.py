@@ -3,6 +3,20 @@
 from marketlens.dialect import Operator
 from marketlens.plans.views import ADS, DAY, FEATURES, SCORES
 
+#: Sorts by what they sort, and tabs with what they admit and sort by.
+SORTS = (("opportunity", "opportunity"), ("newest", "-data_days"), ("novelty", "novelty"), ("demand", "demand"), ("ads", "active_ads"), ("growth", "growth"), ("confidence", "confidence"))
+TABS = (
+    ("breakout", "quadrant = 'BREAKOUT'", "opportunity"), ("experimental", "quadrant = 'EXPERIMENTAL'", "momentum"), ("cash_cow", "quadrant = 'STABLE_WINNER' AND longevity_days >= 60", "demand"),
+    ("new", "new_ads > 0 AND prev_ads = 0", "new_ads"), ("scaling", "growth >= 0.3", "growth"), ("risk", "saturation >= 45", "saturation"), ("hidden", "advertisers <= 3 AND demand >= 45", "rarity"), ("novelty", "data_days <= 365", "velocity"),
+)
+
+
+def _listed(entries: tuple) -> str:
+    """Each scored product once for every (name, condition, value) that admits it: scores are computed once, not for each list."""
+    structs = ", ".join(f"named_struct('name', '{name}', 'ok', {ok}, 's', @dbl({by}))" for name, ok, by in entries)
+    return f"e AS (SELECT product_id, explode(filter(array({structs}), x -> x.ok)) AS e FROM scored)"
+
+
 _R = "round({0}, 4) AS {0}".format
 OPERATORS = [
     Operator("a01_product_feature_vector", f"WITH {FEATURES} SELECT product_id, total_ads, active_ads, unique_ads, new_ads, prev_ads, removed_ads, running_30d, longevity_days, advertisers, new_advertisers, {_R('advertiser_hhi')}, markets, acceleration, {_R('growth')}, {_R('duplication')}, {_R('avg_price')}, data_days FROM feature"),
@@ -29,8 +43,13 @@ OPERATORS = [
     Operator("x19_lifecycle", f"""WITH {SCORES},
         s1 AS (SELECT product_id, decision, 'new' AS was, CASE WHEN decision IN ('TEST', 'TEST_NOW') THEN 'testing' WHEN decision = 'WATCH' THEN 'watching' ELSE 'new' END AS step1, demand, active_ads FROM scored)
         SELECT product_id, was, step1, CASE WHEN step1 = 'testing' AND demand >= 70 THEN 'scaling' WHEN step1 = 'watching' AND active_ads = 0 THEN 'retired' ELSE step1 END AS step2 FROM s1"""),
-    Operator("o02_named_sorts", f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, product_id, round(@dbl({by}), 4) AS value FROM scored ORDER BY value DESC, product_id LIMIT 50) s_{name}" for name, by in (("opportunity", "opportunity"), ("newest", "-data_days"), ("novelty", "novelty"), ("demand", "demand"), ("ads", "active_ads"), ("growth", "growth"), ("confidence", "confidence")))),
-    Operator("p20_discovery_tabs", f"""WITH {SCORES},
+    # the best of each list are cut within partitions before they meet, as the rank has a limit
+    Operator("o02_named_sorts", f"""WITH {SCORES}, {_listed(tuple((name, 'true', by) for name, by in SORTS))}, v AS (SELECT e.name AS sort, product_id, round(e.s, 4) AS value FROM e),
+        r AS (SELECT *, row_number() OVER (PARTITION BY sort ORDER BY value DESC, product_id) AS place FROM v) SELECT sort, product_id, value FROM r WHERE place <= 50""",
+        check=f"WITH {SCORES} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, product_id, round(@dbl({by}), 4) AS value FROM scored ORDER BY value DESC, product_id LIMIT 50) s_{name}" for name, by in SORTS)),
+    Operator("p20_discovery_tabs", f"""WITH {SCORES}, {_listed(TABS)},
+        r AS (SELECT e.name AS tab, product_id, round(e.s, 4) AS score, row_number() OVER (PARTITION BY e.name ORDER BY e.s DESC, product_id) AS place FROM e) SELECT * FROM r WHERE place <= 30""",
+        check=f"""WITH {SCORES},
         t AS (SELECT 'breakout' AS tab, product_id, opportunity AS s FROM scored WHERE quadrant = 'BREAKOUT' UNION ALL SELECT 'experimental', product_id, momentum FROM scored WHERE quadrant = 'EXPERIMENTAL'
               UNION ALL SELECT 'cash_cow', product_id, demand FROM scored WHERE quadrant = 'STABLE_WINNER' AND longevity_days >= 60 UNION ALL SELECT 'new', product_id, @dbl(new_ads) FROM scored WHERE new_ads > 0 AND prev_ads = 0
               UNION ALL SELECT 'scaling', product_id, growth FROM scored WHERE growth >= 0.3 UNION ALL SELECT 'risk', product_id, saturation FROM scored WHERE saturation >= 45

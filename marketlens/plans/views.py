@@ -11,16 +11,17 @@ ADS = f"""ad AS (
            @dayno(l_shipdate) + CAST(10 * l_quantity AS INT) AS last_seen, l_extendedprice AS price, l_quantity AS quantity,
            l_linenumber AS variant, CASE l_returnflag WHEN 'A' THEN 'marketplace' WHEN 'R' THEN 'organic' ELSE 'ads' END AS channel,
            CASE l_linestatus WHEN 'O' THEN 'video' ELSE 'image' END AS media, l_discount AS discount,
-           n_name AS market, r_name AS region, s_name AS advertiser
+           n_name AS market, n_nationkey AS market_no, r_name AS region, s_name AS advertiser
     FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
     WHERE @dayno(l_shipdate) <= {DAY}),
 live AS (SELECT * FROM ad WHERE last_seen >= {DAY} - 1)"""
 
-#: One scan: rows of (product, advertiser, market, variant, channel), with the advertiser's own figures beside them by window;
+#: Distinct counts need no copies of rows: an advertiser's first row has own = 1, and markets, variants and channels, few and numbered
+#: under 64, are bits. One scan: rows of (product, advertiser, market, variant, channel), with the advertiser's own figures beside them by window;
 #: all features come from one aggregation of these. Quantity stands for engagement, a marketplace seller for a store.
 FEATURES = f"""{ADS},
 core AS (
-    SELECT product_id, advertiser_id, market, variant, channel, count(*) AS n, count_if(last_seen >= {DAY} - 1) AS active,
+    SELECT product_id, advertiser_id, market, variant, channel, min(market_no) AS market_no, CASE channel WHEN 'ads' THEN 0 WHEN 'organic' THEN 1 ELSE 2 END AS channel_no, count(*) AS n, count_if(last_seen >= {DAY} - 1) AS active,
            count_if(first_seen > {DAY} - {WINDOW}) AS new_n, count_if(first_seen > {DAY} - 2 * {WINDOW} AND first_seen <= {DAY} - {WINDOW}) AS prev_n,
            count_if(last_seen < {DAY} - 1 AND last_seen > {DAY} - {WINDOW}) AS removed_n, count_if(last_seen >= {DAY} - 1 AND {DAY} - first_seen >= 30) AS running,
            count_if(last_seen >= {DAY} - 1 AND force >= 45) AS strong, min(first_seen) AS since, sum(price / quantity) AS prices, sum(quantity) AS engagement,
@@ -28,14 +29,16 @@ core AS (
     FROM (SELECT *, (60 * least(@dbl({DAY} - first_seen) / 180, 1) + 25 * least(@dbl(variant - 1) / 9, 1) + 15 * least(@dbl(quantity) / 40, 1)) * CASE WHEN last_seen >= {DAY} - 1 THEN 1 ELSE 0.7 END AS force FROM ad) z
     GROUP BY product_id, advertiser_id, market, variant, channel),
 beside AS (
-    SELECT *, sum(active) OVER w AS own_active, min(since) OVER w AS own_since FROM core WINDOW w AS (PARTITION BY product_id, advertiser_id)),
+    SELECT *, sum(active) OVER w AS own_active, min(since) OVER w AS own_since, max(CASE WHEN channel = 'marketplace' THEN 1 ELSE 0 END) OVER w AS own_shop,
+           CASE WHEN row_number() OVER (PARTITION BY product_id, advertiser_id ORDER BY market, variant, channel) = 1 THEN 1 ELSE 0 END AS own
+    FROM core WINDOW w AS (PARTITION BY product_id, advertiser_id)),
 whole AS (
     SELECT product_id, @long(sum(n)) AS total_ads, @long(sum(active)) AS active_ads, @long(sum(new_n)) AS new_ads, @long(sum(prev_n)) AS prev_ads, @long(sum(removed_n)) AS removed_ads,
-           @long(sum(running)) AS running_30d, @long(sum(strong)) AS strong_ads, count(DISTINCT advertiser_id) AS all_advertisers, count(DISTINCT market) AS all_markets,
-           count(DISTINCT CASE WHEN active > 0 THEN variant END) AS unique_ads, count(DISTINCT CASE WHEN active > 0 THEN advertiser_id END) AS live_advertisers,
-           count(DISTINCT CASE WHEN active > 0 THEN market END) AS live_markets, count(DISTINCT channel) AS sources,
-           count(DISTINCT CASE WHEN channel = 'marketplace' THEN advertiser_id END) AS stores, coalesce(max(longest), 0) AS longevity_days, coalesce(max(force), 0.0) AS force_top,
-           max(active) AS variants, count(DISTINCT CASE WHEN own_since > {DAY} - {WINDOW} THEN advertiser_id END) AS new_advertisers, sum(@dbl(active) * own_active) AS squares,
+           @long(sum(running)) AS running_30d, @long(sum(strong)) AS strong_ads, @long(sum(own)) AS all_advertisers, @kinds(market_no) AS all_markets,
+           @kinds(CASE WHEN active > 0 THEN variant END) AS unique_ads, @long(sum(CASE WHEN own_active > 0 THEN own ELSE 0 END)) AS live_advertisers,
+           @kinds(CASE WHEN active > 0 THEN market_no END) AS live_markets, @kinds(channel_no) AS sources,
+           @long(sum(own * own_shop)) AS stores, coalesce(max(longest), 0) AS longevity_days, coalesce(max(force), 0.0) AS force_top,
+           max(active) AS variants, @long(sum(CASE WHEN own_since > {DAY} - {WINDOW} THEN own ELSE 0 END)) AS new_advertisers, sum(@dbl(active) * own_active) AS squares,
            {DAY} - min(since) AS data_days, sum(prices) / sum(n) AS avg_price, @dbl(sum(engagement)) / sum(n) AS engagement_per_ad
     FROM beside GROUP BY product_id),
 feature AS (
