@@ -120,4 +120,49 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM c GROUP BY node) m ON m.node = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": _OP5, "op8_warc": _OP8, "op10_jaccard_join": _OP10}
+
+
+def _crc32(octets: str) -> str:
+    """SQL for the checksum of a list of octets, a bit at a time."""
+    bits = f"flatten(list_transform({octets}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda s, x: xor(xor(s, x) >> 1, CASE WHEN xor(s, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+
+_DIGITS = "list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)"
+_OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32(_DIGITS)} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, sha256(length(role) || ':' || role || text) AS x, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM s),
+p AS (SELECT conv_id, d, words, sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node FROM n UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+g AS (SELECT node, d, min(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY node, d),
+u AS (SELECT g.node, up.node AS above, up.conv_id AS parent FROM g JOIN p ON p.conv_id = g.conv_id AND p.d = g.d - 1 JOIN g up ON up.node = p.node),
+k AS (SELECT above AS node, count(*) AS n_children FROM u GROUP BY above),
+b AS (SELECT p.node, sum((g.n_convs - 1) * g.words)::BIGINT AS saved_tokens, count(*) FILTER (k.node IS NULL) AS n_leaves FROM g JOIN p ON p.conv_id = g.conv_id AND p.d <= g.d LEFT JOIN k ON k.node = g.node GROUP BY p.node),
+e AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM p) WHERE d = last GROUP BY node)
+SELECT g.conv_id, g.d::BIGINT AS depth, u.parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN b USING (node) LEFT JOIN u USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node)
+"""
+
+_OCTETS = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, (ord(c) - 64)::BIGINT] END))"
+_OP12 = f"""
+WITH RECURSIVE r AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_crc32(_OCTETS)} AS h FROM d),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+star AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS key FROM i),
+less AS (SELECT DISTINCT i.word, i.n, v.word AS other, v.n AS other_n FROM i JOIN v ON v.word = substr(i.word, 1, i - 1) || substr(i.word, i + 1)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM star a JOIN star b ON a.key = b.key AND a.word <> b.word
+         UNION ALL SELECT word, n, other, other_n FROM less UNION ALL SELECT other, other_n, word, n FROM less),
+best AS (SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near),
+f AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE place = 1 AND other_n >= 10 * n),
+walk AS (SELECT word, form AS seen, 1 AS steps FROM f UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.seen),
+root AS (SELECT word, arg_max(seen, steps) AS root FROM walk GROUP BY word)
+SELECT v.word, f.form, coalesce(root.root, v.word) AS root, v.n, coalesce(best.n_near, 0) AS n_near, f.form_n
+FROM v LEFT JOIN best ON best.word = v.word AND place = 1 LEFT JOIN f ON f.word = v.word LEFT JOIN root ON root.word = v.word
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": _OP5, "op8_warc": _OP8, "op10_jaccard_join": _OP10, "op11_conversation_trie": _OP11, "op12_spelling_variants": _OP12}
