@@ -80,7 +80,7 @@ def scored(pairs: DataFrame, products: DataFrame, rejected: DataFrame | None = N
 
 
 def merge_targets(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """a, b -> source, target: the better-named product survives, then the manual one, the larger, the older."""
+    """a, b -> source, target: the pair's sources point to the product of higher rank, by name status, manual care, ads, and lesser id."""
     rank = lambda s: F.struct(F.when(F.col(f"{s}.status") == "CONFIRMED", 2).when(F.col(f"{s}.status") == "UNKNOWN", 0).otherwise(1).alias("r"), F.col(f"{s}.manual").alias("m"), F.col(f"{s}.n_ads").alias("n"), (-F.col(f"{s}.id")).alias("i"))
     rows = pairs.join(products.alias("x"), F.col("a") == F.col("x.id")).join(products.alias("y"), F.col("b") == F.col("y.id"))
     first = rank("x") > rank("y")

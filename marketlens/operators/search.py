@@ -5,14 +5,19 @@ Every function takes a DataFrame and arguments; literals reach the scan as filte
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The beginning of a text, or anything that belongs to no word: a blank, a line break, a bracket.
+BEGINS = r"(?:^|[^\p{L}\p{M}\p{N}_])"
+
 
 def has_term(c: Column, term: str) -> Column:
     """A short ASCII term must begin a word; others may stand anywhere."""
     term = term.lower()
-    return F.contains(F.concat(F.lit(" "), c), F.lit(" " + term)) if len(term) <= 4 and term.isascii() else F.contains(c, F.lit(term))
+    return c.rlike(BEGINS + re.escape(term)) if len(term) <= 4 and term.isascii() else F.contains(c, F.lit(term))
 
 
 def has_all(c: Column, keyword: str) -> Column:

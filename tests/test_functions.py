@@ -67,3 +67,8 @@ def test_search_tiers_and_limits(spark):
     assert {(r.id, r.tier, r.n_strong) for r in hits.collect()} == {(1, 0, 1), (2, 1, 1), (3, 2, 0)}
     assert {r.id for r in search.search(rows, "t", ["neck massager"], related={"neck massager": ["pillow"]}, enough=1).collect()} == {1, 4}
     assert [r.id for r in search.page(hits, search.by_relevance(hits, [F.asc("id")]), 1, 1).collect()] == [2]
+
+
+def test_short_terms_begin_words(spark):
+    rows = spark.createDataFrame([(1, "(the lamp"), (2, "a\nthe end"), (3, "breathe"), (4, "The"), (5, "\u00e9the"), (6, "x-the"), (7, "_the")], "id long, t string")
+    assert sorted(r.id for r in search.search(rows, "t", ["the"]).collect()) == [1, 2, 4, 6]
