@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.operators import applied, creatives, ingest, membership, more, relations, rollups, scoring, similar, trend, vectors
+from marketlens.operators import applied, creatives, ingest, membership, more, recommend, relations, rollups, scoring, similar, trend, vectors
 from marketlens.operators.scoring import FLAGSHIP
 
-OPERATORS = [*scoring.OPERATORS, *rollups.OPERATORS, *relations.OPERATORS, *applied.OPERATORS, *more.OPERATORS, *ingest.OPERATORS, *membership.OPERATORS, *creatives.OPERATORS, *vectors.OPERATORS, *trend.OPERATORS, *similar.OPERATORS]
+OPERATORS = [*scoring.OPERATORS, *rollups.OPERATORS, *relations.OPERATORS, *applied.OPERATORS, *more.OPERATORS, *ingest.OPERATORS, *membership.OPERATORS, *creatives.OPERATORS, *vectors.OPERATORS, *trend.OPERATORS, *similar.OPERATORS, *recommend.OPERATORS]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {o.name: o.spark for o in OPERATORS}
 ORACLES: dict[str, str] = {o.name: sql for o in OPERATORS if (sql := o.other())}
 
