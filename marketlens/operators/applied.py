@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.dialect import Query
 from marketlens.functions import compare, money, rules, text
+from marketlens.functions.rounding import rounded
 from marketlens.operators import entities, search
 from marketlens.sources import exports, feeds, lake
 
@@ -121,14 +122,14 @@ OPERATORS = [
     Query("f23_cross_source_key", lambda s, d: _read(s, d, "pages").select("page_id", text.cross_source_key(F.lit("Ann"), F.col("html"), F.col("url")).alias("key")), r"SELECT page_id, substr(sha1(concat('ann|', substr(regexp_replace(lower(coalesce(html, '')), '[^\p{L}\p{M}\p{N}\p{Pc}]+', '', 'g'), 1, 120), '|', regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1))), 1, 16) AS key FROM pages"),
     Query("f37_date_formats", lambda s, d: _read(s, d, "orders").select("o_orderkey", F.date_format(text.parsed_time(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))), "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day FROM orders"),
     Query("p26_scrub", lambda s, d: _read(s, d, "pages").select("page_id", text.scrubbed(F.concat("url", F.lit("?token=abc&x=1"))).alias("url")), "SELECT page_id, concat(url, '?token=***&x=1') AS url FROM pages"),
-    Query("f16_usd", lambda s, d: _offers(s, d).select("l_orderkey", "l_linenumber", F.round(money.usd(F.col("price"), F.col("currency")), 6).alias("usd"), money.segment(F.col("price"), F.col("currency")).alias("segment"), money.plausible(F.col("price"), F.col("currency"), F.lit("PHP")).alias("doubt")),
+    Query("f16_usd", lambda s, d: _offers(s, d).select("l_orderkey", "l_linenumber", rounded(money.usd(F.col("price"), F.col("currency")), 6).alias("usd"), money.segment(F.col("price"), F.col("currency")).alias("segment"), money.plausible(F.col("price"), F.col("currency"), F.lit("PHP")).alias("doubt")),
           f"WITH {_OFFER}, u AS (SELECT *, price * {_RATE} AS usd FROM o) SELECT l_orderkey, l_linenumber, round(usd, 6) AS usd, CASE WHEN usd < 15 THEN 'budget' WHEN usd < 35 THEN 'mid' WHEN usd < 70 THEN 'upper' WHEN usd IS NOT NULL THEN 'premium' END AS segment, CASE WHEN currency NOT IN ('USD', 'EUR', 'GBP', 'PHP') THEN 'currency' WHEN usd IS NULL THEN 'unknown currency' WHEN usd < 0.5 THEN 'too low' WHEN usd > 5000 THEN 'too high' END AS doubt FROM u"),
     Query("f20_prices_in_text", lambda s, d: _read(s, d, "documents").select("doc_id", money.parsed_price(F.concat(F.lit("only $"), F.col("n_chars").cast("string"), F.lit(".50 now"))).alias("p")).select("doc_id", "p.amount", "p.currency"), "SELECT doc_id, n_chars + 0.5::DOUBLE AS amount, 'USD' AS currency FROM documents"),
     Query("f39_landed_cost", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", money.landed_cost(F.col("l_extendedprice"), F.when(F.col("l_linenumber") % 2 == 0, 4.5), F.col("l_linenumber") < 4).alias("c")).select("l_orderkey", "l_linenumber", "c.value", F.array_join("c.missing", ",").alias("missing")),
           "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 AND l_linenumber < 4 THEN (round(l_extendedprice * 100)::BIGINT + 450) / 100.0 END AS value, concat_ws(',', CASE WHEN l_linenumber % 2 <> 0 THEN 'shipping' END, CASE WHEN l_linenumber >= 4 THEN 'vat_included' END) AS missing FROM lineitem"),
     Query("f25_identity_compare", _identity, f"WITH {_PAIR} SELECT p_partkey, CASE WHEN lower(trim(p_brand)) <> lower(trim(brand_b)) THEN false ELSE lower(trim(p_type)) = lower(trim(type_b)) END AS same FROM n"),
     Query("f26_model_numbers", lambda s, d: _neighbours(s, d).select("p_partkey", F.array_join(compare.numeric_models(F.col("p_brand")), " ").alias("models"), compare.compatible_titles(F.col("p_brand"), F.col("brand_b")).alias("compatible")), f"WITH {_PAIR} SELECT p_partkey, array_to_string(list_distinct(regexp_extract_all(lower(p_brand), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b')), ' ') AS models, len(list_filter(regexp_extract_all(lower(p_brand), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b'), lambda m: NOT list_contains(regexp_extract_all(lower(brand_b), '\\b(?:[a-z]+-?)?[0-9]+[a-z]*\\b'), m))) = 0 AS compatible FROM n"),
-    Query("f27_set_ratios", lambda s, d: _neighbours(s, d).select("p_partkey", F.round(compare.jaccard(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("jaccard"), F.round(compare.containment(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("containment"), F.round(compare.price_similarity(F.col("price_a"), F.col("price_b")), 6).alias("price_similarity")),
+    Query("f27_set_ratios", lambda s, d: _neighbours(s, d).select("p_partkey", rounded(compare.jaccard(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("jaccard"), rounded(compare.containment(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("containment"), rounded(compare.price_similarity(F.col("price_a"), F.col("price_b")), 6).alias("price_similarity")),
           f"WITH {_PAIR}, t AS (SELECT *, {_TOKENS.format('p_name')} AS x, {_TOKENS.format('name_b')} AS y FROM n) SELECT p_partkey, round({_SHARE.format('x', 'y')}, 6) AS jaccard, round(len(list_intersect(x, y))::DOUBLE / least(len(x), len(y)), 6) AS containment, round(least(price_a, price_b) / greatest(price_a, price_b), 6) AS price_similarity FROM t"),
     Query("f28_title_similarity", lambda s, d: _neighbours(s, d).select("p_partkey", F.round(compare.title_similarity(text.name_tokens("p_name"), text.name_tokens("name_b")), 6).alias("similarity"))),
     Query("f24_valid_gtin", _parts(lambda: compare.valid_gtin(F.lpad(F.col("p_partkey").cast("string"), 8, "4")).alias("valid")), "WITH d AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 8, '4') AS g FROM part) SELECT p_partkey, (10 - (3 * (substr(g, 7, 1)::INT + substr(g, 5, 1)::INT + substr(g, 3, 1)::INT + substr(g, 1, 1)::INT) + substr(g, 6, 1)::INT + substr(g, 4, 1)::INT + substr(g, 2, 1)::INT) % 10) % 10 = substr(g, 8, 1)::INT AS valid FROM d"),
@@ -137,7 +138,7 @@ OPERATORS = [
     Query("f18_star_sentiment", lambda s, d: _read(s, d, "part").select("p_partkey", rules.sentiment_of_stars(F.col("p_size") % 6).alias("sentiment"), rules.win_label(F.col("p_size") * 2).alias("label"), rules.backoff(F.col("p_size") % 12 + 1).alias("wait")), "SELECT p_partkey, CASE WHEN p_size % 6 >= 4 THEN 'positive' WHEN p_size % 6 <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN p_size * 2 >= 75 THEN 'Likely Winner' WHEN p_size * 2 >= 60 THEN 'Potential Winner' WHEN p_size * 2 >= 45 THEN 'Mixed Signals' ELSE 'Weak Signals' END AS label, least(3600, 60 * 2 ** (p_size % 12))::BIGINT AS wait FROM part"),
     Query("f38_page_age", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", rules.page_age(F.col("l_shipdate").cast("date"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int") * 4)).alias("a")).select("l_orderkey", "l_linenumber", "a.days_older", "a.flag"), "SELECT l_orderkey, l_linenumber, (l_linenumber * 4)::INT AS days_older, l_linenumber * 4 > 14 AS flag FROM lineitem"),
     Query("f40_compliance_risk", _docs(lambda: [rules.compliance_risk(F.col("text"))["risk"].alias("risk"), F.array_join(rules.compliance_risk(F.col("text"))["flags"], ",").alias("flags")])),
-    Query("f34_distances", lambda s, d: (lambda e: e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", compare.hamming(F.col("vec_id").cast("long"), F.col("vec_id").cast("long") * 7919).cast("long").alias("bits"), F.round(compare.clamped(compare.cosine(F.col("embedding"), F.col("other")), 0.2, 0.9), 4).alias("closeness")))(_read(s, d, "embeddings").select("vec_id", "embedding")),
+    Query("f34_distances", lambda s, d: (lambda e: e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", compare.hamming(F.col("vec_id").cast("long"), F.col("vec_id").cast("long") * 7919).cast("long").alias("bits"), rounded(compare.clamped(compare.cosine(F.col("embedding"), F.col("other")), 0.2, 0.9), 4).alias("closeness")))(_read(s, d, "embeddings").select("vec_id", "embedding")),
           "SELECT a.vec_id, bit_count(xor(a.vec_id::BIGINT, a.vec_id::BIGINT * 7919))::BIGINT AS bits, round(greatest(0, least(1, (list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) - 0.2) / (0.9 - 0.2))), 4) AS closeness FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
     Query("f35_same_video", _parts(lambda: compare.same_video(F.array(F.col("p_partkey").cast("long"), F.col("p_size").cast("long"), F.when(F.col("p_size") > 9, F.col("p_partkey").cast("long"))), F.array(F.lit(None).cast("long"), F.lit(7).cast("long"), F.lit(3).cast("long")), 3).alias("same")), "SELECT p_partkey, CASE WHEN p_size > 9 THEN bit_count(xor(p_size::BIGINT, 7::BIGINT)) <= 3 AND bit_count(xor(p_partkey::BIGINT, 3::BIGINT)) <= 3 END AS same FROM part"),
     Query("e06_pair_evidence", lambda s, d: _evidence(s, d).withColumn("kinds", F.array_join("kinds", ",")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketlens.functions import compare, text
+from marketlens.functions.rounding import rounded
 
 #: Weight of each kind of evidence (fixed values of the score).
 WEIGHTS = {"landing": 0.85, "copy": 0.80, "phash": 0.60, "identity": 0.96}
@@ -111,4 +112,4 @@ def best_match(left: DataFrame, right: DataFrame, block: str, least: float = 0.5
     w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
     ranked = pairs.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("similarity").over(w)).where("k = 1")
     accepted = (F.col("similarity") >= least) & (F.col("similarity") - F.coalesce("second", F.lit(0.0)) >= gap)
-    return ranked.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), accepted.alias("accepted"))
+    return ranked.select("left_id", "right_id", rounded("similarity", 6).alias("similarity"), accepted.alias("accepted"))
