@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.dialect import Query
+from marketlens.functions.rounding import rounded
 
 #: What a component's value is divided by, and the kinds of signals that are only listed where they exist.
 GROWTHS = {"favorites": ("etsy_favorites_growth", 50), "views": ("etsy_views_growth", 2000), "offer_count": ("offer_count_change", 5)}
@@ -44,7 +45,7 @@ def trend_scores(listings: DataFrame, signals: DataFrame, prices: DataFrame, con
     if "currency" in prices.columns:  # a change has one currency
         one = prices.groupBy("product_id", "listing_id").agg((F.min("currency") == F.max("currency")).alias("one")).where("one").drop("one")
         prices = prices.join(one, ["product_id", "listing_id"])
-    change = _moves(prices, ["product_id", "listing_id"]).where("first <> 0").groupBy("product_id").agg(F.avg(F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 1)).alias("change"))
+    change = _moves(prices, ["product_id", "listing_id"]).where("first <> 0").groupBy("product_id").agg(F.avg(rounded((F.col("last") - F.col("first")) / F.col("first") * 100, 1)).alias("change"))
     rows = base.join(sums, "product_id", "left").join(seen, "product_id", "left").join(change, "product_id", "left").join(confirmed.withColumnRenamed("n", "ads"), "product_id", "left").na.fill(0, ["n_signals", "ads"])
 
     def part(name: str, value: Column, score: Column) -> Column:
@@ -52,8 +53,8 @@ def trend_scores(listings: DataFrame, signals: DataFrame, prices: DataFrame, con
 
     parts = [
         part("new_listings_7d", F.col("new"), F.least(F.lit(1.0), F.col("new") / 5)), part("source_presence", F.col("sources"), F.least(F.lit(1.0), (F.col("sources") - 1) / 2)),
-        part("country_presence", F.col("countries"), F.least(F.lit(1.0), (F.col("countries") - 1) / 3)), part("search_rank_change", F.round("rank", 1), _between(0.5 + F.col("rank") / 20)),
-        part("rating_count_growth", F.col("ratings"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("ratings")) / 50)), part("price_change_pct", F.round("change", 1), F.least(F.lit(1.0), F.abs("change") / 20)),
+        part("country_presence", F.col("countries"), F.least(F.lit(1.0), (F.col("countries") - 1) / 3)), part("search_rank_change", rounded("rank", 1), _between(0.5 + F.col("rank") / 20)),
+        part("rating_count_growth", F.col("ratings"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("ratings")) / 50)), part("price_change_pct", rounded("change", 1), F.least(F.lit(1.0), F.abs("change") / 20)),
         part("confirmed_ad_matches", F.col("ads"), F.least(F.lit(1.0), F.col("ads") / 3)), *(part(name, F.col(k), _between(F.col(k) / by)) for k, (name, by) in GROWTHS.items()),
     ]
     there = F.filter(F.array(*parts), lambda p: p.isNotNull())
@@ -63,7 +64,7 @@ def trend_scores(listings: DataFrame, signals: DataFrame, prices: DataFrame, con
     few = (F.col("history_days") < 7) | (F.size("missing") >= 3)
     low = few | (F.col("n_signals") + F.col("n_listings") < 5)
     confidence = F.when(low, "low").when((F.col("history_days") < 30) | (F.size("missing") >= 2), "medium").otherwise("high")
-    return rows.select("product_id", F.round(100 * total / F.size("components"), 1).alias("score"), "components", "missing", "history_days", few.alias("insufficient_data"), confidence.alias("confidence"))
+    return rows.select("product_id", rounded(100 * total / F.size("components"), 1).alias("score"), "components", "missing", "history_days", few.alias("insufficient_data"), confidence.alias("confidence"))
 
 
 def _trends(spark: SparkSession, sf: str) -> DataFrame:
