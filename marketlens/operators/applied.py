@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.dialect import Query
 from marketlens.functions import compare, money, rules, text
 from marketlens.functions.rounding import rounded
-from marketlens.operators import entities, search
+from marketlens.operators import classes, entities, search
 from marketlens.sources import exports, feeds, lake
 
 SCRIPTS = {"ar": r"\p{InArabic}", "th": r"\p{InThai}", "ja": r"[\p{InHiragana}\p{InKatakana}]", "zh": r"\p{IsHan}", "ru": r"\p{InCyrillic}", "ko": r"\p{IsHangul}"}
@@ -146,7 +146,7 @@ OPERATORS = [
     Query("e07_pair_scores", lambda s, d: _pair_scores(s, d, False)),
     Query("e09_verdicts", lambda s, d: _pair_scores(s, d, True).groupBy("verdict", "relation", "blockers").agg(F.count("*").alias("pairs"), F.round(F.avg("score"), 4).alias("score"))),
     Query("e11_merge_targets", lambda s, d: entities.merge_targets(_pair_scores(s, d, True).where("verdict IN ('auto', 'pending')").select("a", "b"), _products(s, d).select("id", "status", "manual", "n_ads"))),
-    Query("j14_best_match", lambda s, d: entities.best_match(*(lambda t: (t, t))(_read(s, d, "part").select(F.col("p_partkey").alias("id"), text.name_tokens("p_name").alias("tokens"), F.concat_ws("|", "p_brand", "p_type").alias("block"))), "block"),
+    Query("j14_best_match", lambda s, d: classes.best_match(*(lambda t: (t, t))(_read(s, d, "part").select(F.col("p_partkey").alias("id"), text.name_tokens("p_name").alias("tokens"), F.concat_ws("|", "p_brand", "p_type").alias("block"))), "block"),
           f"WITH t AS (SELECT p_partkey AS id, {_TOKENS.format('p_name')} AS w, concat_ws('|', p_brand, p_type) AS k FROM part), p AS (SELECT a.id AS left_id, b.id AS right_id, {_SHARE.format('a.w', 'b.w')} AS s FROM t a JOIN t b ON a.k = b.k AND a.id <> b.id WHERE len(list_intersect(a.w, b.w)) > 0), r AS (SELECT *, row_number() OVER o AS k, lead(s) OVER o AS second FROM p WINDOW o AS (PARTITION BY left_id ORDER BY s DESC, right_id)) SELECT left_id, right_id, round(s, 6) AS similarity, s >= 0.55 AND s - coalesce(second, 0) >= 0.15 AS accepted FROM r WHERE k = 1"),
     Query("p10_search", _search,
           "WITH t AS (SELECT doc_id, n_chars, lower(coalesce(text, '')) AS t FROM documents), k AS (SELECT *, CASE WHEN regexp_matches(t, '(^|[^\\p{L}\\p{M}\\p{N}_])the') AND regexp_matches(t, '(^|[^\\p{L}\\p{M}\\p{N}_])of') THEN 0 WHEN t LIKE '%token%' THEN 2 END AS a, CASE WHEN t LIKE '%license%' THEN 0 WHEN (t LIKE '%licence%' OR t LIKE '%copyright%') AND (regexp_matches(t, '(^|[^\\p{L}\\p{M}\\p{N}_])the') OR regexp_matches(t, '(^|[^\\p{L}\\p{M}\\p{N}_])and')) THEN 1 END AS b FROM t WHERE t NOT LIKE '%forbidden%'), h AS (SELECT doc_id, n_chars, least(coalesce(a, 9), coalesce(b, 9)) AS tier, CASE WHEN a < 2 THEN 1 ELSE 0 END + CASE WHEN b < 2 THEN 1 ELSE 0 END AS n_strong FROM k), c AS (SELECT count(*) AS strong FROM h WHERE tier < 2) SELECT doc_id, tier, n_strong FROM h, c WHERE tier < 9 AND (tier < 2 OR strong < 30) ORDER BY n_strong DESC, tier, n_chars DESC, doc_id LIMIT 200"),
