@@ -1,6 +1,7 @@
 """Scans, filters, joins, set operations, sorts and windows."""
 
 from marketlens.dialect import Operator
+from marketlens.operators import classes
 from marketlens.plans.views import ADS, BEHAVIOUR, DAY, WINDOW
 
 _OFFER = "offer AS (SELECT l_partkey AS product_id, l_suppkey AS advertiser_id, @micros(l_shipdate) AS t, l_extendedprice / l_quantity AS price, l_orderkey AS o, l_linenumber AS n, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax) AS k FROM lineitem)"
@@ -38,7 +39,7 @@ OPERATORS = [
         SELECT DISTINCT x.id AS a, y.id AS b, bit_count(@xor(x.h, y.h)) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(@xor(x.h, y.h)) <= 16"""),
     Operator("j16_blocked_jaccard", """WITH t AS (SELECT p_partkey AS id, p_brand AS brand, @list_distinct(@words(lower(p_name))) AS w FROM part)
         SELECT a.id AS a, b.id AS b, round(@dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))), 6) AS jaccard FROM t a JOIN t b ON a.brand = b.brand AND a.id < b.id
-        WHERE @dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))) >= 0.6"""),
+        WHERE @dbl(@list_len(@intersect(a.w, b.w))) / (@list_len(a.w) + @list_len(b.w) - @list_len(@intersect(a.w, b.w))) >= 0.6""", build=classes.blocked_jaccard),
     Operator("j20_as_of_join", f"""WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer),
         u AS (SELECT product_id, advertiser_id, t AS at, 0 AS side, k, price FROM offer UNION ALL SELECT product_id, advertiser_id, asked, 1, NULL, NULL FROM q),
         w AS (SELECT product_id, advertiser_id, at AS asked, side, last_value(price) IGNORE NULLS OVER (PARTITION BY product_id, advertiser_id ORDER BY at, side, k ROWS UNBOUNDED PRECEDING) AS price FROM u)
