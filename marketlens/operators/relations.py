@@ -49,7 +49,7 @@ OPERATORS = [
     Operator("j23_range_join", "WITH s AS (SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, count(*) AS later FROM events e JOIN s ON s.user_id = e.user_id AND e.ts >= s.since GROUP BY e.user_id"),
     Operator("j24_parent_roots", """WITH RECURSIVE link AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN @idiv(p_partkey, 3) ELSE p_partkey END AS parent FROM part),
         walk AS (SELECT id, parent FROM link UNION ALL SELECT w.id, l.parent FROM walk w JOIN link l ON l.id = w.parent WHERE l.parent <> w.parent)
-        SELECT id, min(parent) AS root FROM walk GROUP BY id"""),
+        SELECT id, min(parent) AS root FROM walk GROUP BY id""", build=classes.parent_roots),
     Operator("j26_known_url_join", "WITH p AS (SELECT page_id, @extract(lower(url), '^https?://(?:www\\.|m\\.)?([^/?#]+)', 1) AS host FROM pages) SELECT a.host, count(*) AS pages, min(a.page_id) AS first_page FROM p a JOIN (SELECT host FROM p GROUP BY host HAVING count(*) > 1) k ON k.host = a.host GROUP BY a.host"),
     Operator("j27_broadcast_dimension", "SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name"),
     Operator("w01_latest_per_key", f"WITH {_OFFER}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY t DESC, o DESC, n DESC, advertiser_id DESC, price DESC) AS r FROM offer) SELECT product_id, t, o, n, advertiser_id FROM r WHERE r = 1"),
