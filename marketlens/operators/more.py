@@ -1,6 +1,7 @@
 """Further filters, joins, sorts and state operators over the domain views."""
 
 from marketlens.dialect import Operator
+from marketlens.operators import classes
 from marketlens.plans.views import ADS, BEHAVIOUR, DAY, FEATURES, SCORES
 
 _PRICE = "o AS (SELECT l_partkey AS product_id, l_suppkey AS shop_id, @dayno(l_shipdate) AS day, l_orderkey AS ord, l_linenumber AS line, @dbl(l_extendedprice) / @dbl(l_quantity) AS price, l_discount AS discount FROM lineitem)"
@@ -27,7 +28,7 @@ OPERATORS = [
     Operator("o03_relevance_order", "SELECT doc_id, n, k FROM (SELECT doc_id, CASE WHEN lower(text) LIKE '% the %' THEN 1 ELSE 0 END + CASE WHEN lower(text) LIKE '% of %' THEN 1 ELSE 0 END AS n, n_chars AS k FROM documents) z ORDER BY n DESC, k DESC NULLS LAST, doc_id LIMIT 100"),
     Operator("o04_ad_sorts", " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, l_orderkey, l_linenumber FROM lineitem ORDER BY {by}, l_orderkey, l_linenumber LIMIT 40) z_{name}" for name, by in (("newest", "l_shipdate DESC"), ("variants", "l_linenumber DESC"), ("price", "l_extendedprice DESC"), ("sold", "l_quantity DESC"), ("cheapest", "l_extendedprice")))),
     Operator("o06_insufficient_last", f"WITH {FEATURES} SELECT product_id, data_days < 60 AS insufficient, round(growth, 6) AS growth FROM feature ORDER BY data_days < 60, round(growth, 6) DESC, product_id LIMIT 100"),
-    Operator("o07_tiered_similarity", f"WITH {_TITLE}, s AS (SELECT a.id AS a, b.id AS b, @list_len(@intersect(a.w, b.w)) AS shared, a.type_ = b.type_ AS same_type FROM t a JOIN t b ON a.brand = b.brand AND a.id % 20 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CASE WHEN same_type AND shared >= 2 THEN 0 WHEN shared >= 2 THEN 1 ELSE 2 END, shared DESC, b) AS k FROM s) SELECT a, b, shared, k FROM r WHERE k <= 5"),
+    Operator("o07_tiered_similarity", f"WITH {_TITLE}, s AS (SELECT a.id AS a, b.id AS b, @list_len(@intersect(a.w, b.w)) AS shared, a.type_ = b.type_ AS same_type FROM t a JOIN t b ON a.brand = b.brand AND a.id % 20 = 0 AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY CASE WHEN same_type AND shared >= 2 THEN 0 WHEN shared >= 2 THEN 1 ELSE 2 END, shared DESC, b) AS k FROM s) SELECT a, b, shared, k FROM r WHERE k <= 5", build=classes.tiered_similarity),
     Operator("o08_cover_selection", f"WITH {ADS}, r AS (SELECT product_id, advertiser_id, media, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN media = 'video' THEN 0 ELSE 1 END, CASE WHEN last_seen >= {DAY} - 1 THEN 0 ELSE 1 END, last_seen DESC, advertiser_id, variant, first_seen, price) AS k FROM ad) SELECT product_id, advertiser_id, media FROM r WHERE k = 1"),
     Operator("w12_pinned_slots", "WITH l AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events), f AS (SELECT *, place % 5 = 0 AS pinned FROM l), s AS (SELECT user_id, place, row_number() OVER (PARTITION BY user_id ORDER BY place) AS k FROM f WHERE NOT pinned), v AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS k FROM f WHERE NOT pinned) SELECT user_id, event_id, place FROM f WHERE pinned UNION ALL SELECT v.user_id, v.event_id, s.place FROM v JOIN s ON s.user_id = v.user_id AND s.k = v.k"),
     Operator("w13_activity_momentum", f"""WITH {ADS}, d AS (SELECT {DAY} - 14 + 7 * k AS day, k FROM (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) z),
