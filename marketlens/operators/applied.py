@@ -137,7 +137,7 @@ OPERATORS = [
           "WITH c AS (SELECT l_suppkey, count(*) FILTER (l_linenumber = 1) AS a, count(*) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY 1), g AS (SELECT *, CASE WHEN b <> 0 THEN a::DOUBLE / b - 1 END AS g FROM c) SELECT l_suppkey, CASE WHEN g >= 1 THEN '↑↑↑' WHEN g >= 0.4 THEN '↑↑' WHEN g >= 0.1 THEN '↑' WHEN g <= -0.5 THEN '↓↓' WHEN g <= -0.1 THEN '↓' WHEN g IS NOT NULL THEN '→' WHEN a <> 0 THEN 'NEW' ELSE '–' END AS arrow, round(g, 3) AS growth, CASE WHEN l_suppkey % 30 < 1 THEN 'fresh' WHEN l_suppkey % 30 < 6 THEN 'recent' WHEN l_suppkey % 30 < 24 THEN 'stale' ELSE 'unreliable' END AS freshness FROM g"),
     Query("f18_star_sentiment", lambda s, d: _read(s, d, "part").select("p_partkey", rules.sentiment_of_stars(F.col("p_size") % 6).alias("sentiment"), rules.win_label(F.col("p_size") * 2).alias("label"), rules.backoff(F.col("p_size") % 12 + 1).alias("wait")), "SELECT p_partkey, CASE WHEN p_size % 6 >= 4 THEN 'positive' WHEN p_size % 6 <= 2 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN p_size * 2 >= 75 THEN 'Likely Winner' WHEN p_size * 2 >= 60 THEN 'Potential Winner' WHEN p_size * 2 >= 45 THEN 'Mixed Signals' ELSE 'Weak Signals' END AS label, least(3600, 60 * 2 ** (p_size % 12))::BIGINT AS wait FROM part"),
     Query("f38_page_age", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", rules.page_age(F.col("l_shipdate").cast("date"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int") * 4)).alias("a")).select("l_orderkey", "l_linenumber", "a.days_older", "a.flag"), "SELECT l_orderkey, l_linenumber, (l_linenumber * 4)::INT AS days_older, l_linenumber * 4 > 14 AS flag FROM lineitem"),
-    Query("f40_compliance_risk", _docs(lambda: [rules.compliance_risk(F.col("text"))["risk"].alias("risk"), F.array_join(rules.compliance_risk(F.col("text"))["flags"], ",").alias("flags")])),
+    Query("f40_compliance_risk", lambda s, d: _read(s, d, "documents").select("doc_id", rules.compliance_risk(F.col("text")).alias("r")).select("doc_id", "r.risk", F.array_join("r.flags", ",").alias("flags"))),
     Query("f34_distances", lambda s, d: (lambda e: e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", compare.hamming(F.col("vec_id").cast("long"), F.col("vec_id").cast("long") * 7919).cast("long").alias("bits"), rounded(compare.clamped(compare.cosine(F.col("embedding"), F.col("other")), 0.2, 0.9), 4).alias("closeness")))(_read(s, d, "embeddings").select("vec_id", "embedding")),
           "SELECT a.vec_id, bit_count(xor(a.vec_id::BIGINT, a.vec_id::BIGINT * 7919))::BIGINT AS bits, round(greatest(0, least(1, (list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) - 0.2) / (0.9 - 0.2))), 4) AS closeness FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"),
     Query("f35_same_video", _parts(lambda: compare.same_video(F.array(F.col("p_partkey").cast("long"), F.col("p_size").cast("long"), F.when(F.col("p_size") > 9, F.col("p_partkey").cast("long"))), F.array(F.lit(None).cast("long"), F.lit(7).cast("long"), F.lit(3).cast("long")), 3).alias("same")), "SELECT p_partkey, CASE WHEN p_size > 9 THEN bit_count(xor(p_size::BIGINT, 7::BIGINT)) <= 3 AND bit_count(xor(p_partkey::BIGINT, 3::BIGINT)) <= 3 END AS same FROM part"),
