@@ -10,8 +10,11 @@ occur; an empty table gives no pieces. Long texts are tokenized whole.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +24,29 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import written
 
 WINDOW, END = 4096, 2
-_MEMO_WORDS, _MEMO_CHARS = 1 << 16, 32
+_MEMO_WORDS, _MEMO_CHARS = 1 << 18, 32
+#: The rule by which the vocabulary cuts a lower-cased text, words of ASCII and the letters of Latin-1, and what the rule is for these.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SUFFIX = "</w>"
+_PLAIN = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker, and one memo of 2^16 words of 32 bytes at most, which `forget` empties."""
+    """One tokenizer for each Python worker, and one memo of 2^18 words of 32 bytes at most, which `forget` empties."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _state.update(path=path, tokenizer=t, memo={})
+        rules = json.loads(t.to_str())
+        cuts = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+        lower = {"type": "Lowercase"} in (rules.get("normalizer") or {}).get("normalizers", ())
+        _state.update(path=path, tokenizer=t, memo={}, pieces=lower and _RULE in cuts and rules["model"].get("end_of_word_suffix") == _SUFFIX)
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for w, i in t.get_vocab().items() if w.endswith(_SUFFIX)]] = True
+        _state["ends"] = ends
     return _state["tokenizer"], _state["memo"]
 
 
@@ -42,22 +56,47 @@ def forget() -> None:
         _state["memo"].clear()
 
 
+def _remember_pieces(pieces: list[bytes], tokenizer, memo: dict) -> None:
+    """Pieces that the vocabulary's rules don't cut: tokenized in a row, as only a piece's last id stands for the end of a word."""
+    for i in range(0, len(pieces), 256):
+        part = pieces[i : i + 256]
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+        at = (np.flatnonzero(_state["ends"][ids]) + 1) * 4
+        if len(at) != len(part):
+            raise ValueError("a piece is cut by the vocabulary's rules")
+        raw, at = ids.tobytes(), at.tolist()
+        memo.update((p, raw[x:y]) for p, x, y in zip(part, [0, *at], at))
+
+
+def _remember(words: list[bytes], tokenizer, memo: dict) -> None:
+    for i in range(0, len(words), 4096):
+        part = words[i : i + 4096]
+        got = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+        ids = [e.ids for e in got]
+        raw, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for w, n in zip(part, map(len, ids)):
+            memo[w] = raw[at : at + 4 * n]
+            at += 4 * n
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, the end token last.
 
-    The vocabulary's rules drop white space and no token spans it, so words are tokenized one by one and remembered.
+    The vocabulary's rules drop white space and no token spans it, so words are tokenized one by one and remembered. A new word of Latin
+    letters is lower-cased and cut where those rules cut, so that its pieces are met again in other words.
     """
     tokenizer, memo = _tokenizer(path)
     lines = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-    if new := {w for words in lines for w in words if w not in memo}:
-        order = list(new)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            got = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+    new = {w for words in lines for w in words if w not in memo}
+    lower = lambda w: w.lower() if w.isascii() else w.decode().lower().encode()
+    cut = {w: _PIECES.findall(lower(w)) for w in new if _PLAIN.fullmatch(w)} if _state["pieces"] else {}
+    missing = {p for pieces in cut.values() for p in pieces if p not in memo}
+    _remember_pieces(list(missing), tokenizer, memo)
+    _remember([w for w in new if w not in cut], tokenizer, memo)
+    memo.update((w, b"".join([memo[p] for p in pieces])) for w, pieces in cut.items() if len(pieces) != 1 or pieces[0] != w)
     end = END.to_bytes(4, "little")
     out = [b"".join([memo[w] for w in words]) + end for words in lines]
-    for w in new:
+    for w in new | missing:
         if len(w) > _MEMO_CHARS:
             del memo[w]
     if len(memo) > _MEMO_WORDS:
