@@ -6,6 +6,8 @@ from marketlens.plans.views import ADS, BEHAVIOUR, DAY, WINDOW
 
 _OFFER = "offer AS (SELECT l_partkey AS product_id, l_suppkey AS advertiser_id, @micros(l_shipdate) AS t, l_extendedprice / l_quantity AS price, l_orderkey AS o, l_linenumber AS n, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax) AS k FROM lineitem)"
 _V02 = "WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS found_id, round(@dot(q.embedding, e.embedding), 5) AS cosine FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, found_id) AS k FROM s) SELECT query_id, found_id, cosine, k FROM r WHERE k <= 10"
+#: The windows of an offer, the sort of all line items, work on partitions that don't grow with them.
+_BY_OFFER = ("lineitem", ("l_partkey", "l_suppkey"))
 OPERATORS = [
     Operator("s01_table_scan", "SELECT * FROM part"),
     Operator("s02_column_pruned_scan", "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 20"),
@@ -45,8 +47,8 @@ OPERATORS = [
         u AS (SELECT product_id, advertiser_id, t AS at, 0 AS side, k, price FROM offer UNION ALL SELECT product_id, advertiser_id, asked, 1, NULL, NULL FROM q),
         w AS (SELECT product_id, advertiser_id, at AS asked, side, last_value(price) IGNORE NULLS OVER (PARTITION BY product_id, advertiser_id ORDER BY at, side, k ROWS UNBOUNDED PRECEDING) AS price FROM u)
         SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM w WHERE side = 1 AND price IS NOT NULL""",
-        check=f"WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer), r AS (SELECT q.*, o.price, row_number() OVER (PARTITION BY q.product_id, q.advertiser_id, q.asked ORDER BY o.k DESC) AS r FROM q JOIN offer o ON o.product_id = q.product_id AND o.advertiser_id = q.advertiser_id AND o.t <= q.asked) SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM r WHERE r = 1"),
-    Operator("j21_latest_row_join", f"WITH {_OFFER}, z AS (SELECT *, max(k) OVER (PARTITION BY product_id, advertiser_id) AS last_k FROM offer) SELECT product_id, advertiser_id, t, round(price, 8) AS price FROM z WHERE k = last_k"),
+        dealt=_BY_OFFER, check=f"WITH {_OFFER}, q AS (SELECT DISTINCT product_id, advertiser_id, t + 2592000000000 AS asked FROM offer), r AS (SELECT q.*, o.price, row_number() OVER (PARTITION BY q.product_id, q.advertiser_id, q.asked ORDER BY o.k DESC) AS r FROM q JOIN offer o ON o.product_id = q.product_id AND o.advertiser_id = q.advertiser_id AND o.t <= q.asked) SELECT product_id, advertiser_id, asked, round(price, 8) AS price FROM r WHERE r = 1"),
+    Operator("j21_latest_row_join", f"WITH {_OFFER}, z AS (SELECT *, max(k) OVER (PARTITION BY product_id, advertiser_id) AS last_k FROM offer) SELECT product_id, advertiser_id, t, round(price, 8) AS price FROM z WHERE k = last_k", dealt=_BY_OFFER),
     Operator("j23_range_join", "WITH s AS (SELECT user_id, min(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT e.user_id, count(*) AS later FROM events e JOIN s ON s.user_id = e.user_id AND e.ts >= s.since GROUP BY e.user_id"),
     Operator("j24_parent_roots", """WITH RECURSIVE link AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN @idiv(p_partkey, 3) ELSE p_partkey END AS parent FROM part),
         walk AS (SELECT id, parent FROM link UNION ALL SELECT w.id, l.parent FROM walk w JOIN link l ON l.id = w.parent WHERE l.parent <> w.parent)
@@ -55,9 +57,9 @@ OPERATORS = [
     Operator("j27_broadcast_dimension", "SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name"),
     Operator("w01_latest_per_key", f"WITH {_OFFER}, r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY t DESC, o DESC, n DESC, advertiser_id DESC, price DESC) AS r FROM offer) SELECT product_id, t, o, n, advertiser_id FROM r WHERE r = 1"),
     Operator("w02_change_detection", f"WITH {BEHAVIOUR}, l AS (SELECT user_id, event_id, kind, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM behaviour) SELECT user_id, event_id, kind FROM l WHERE before IS NULL OR before <> kind"),
-    Operator("w05_first_last_delta", f"WITH {_OFFER} SELECT product_id, advertiser_id, round(max_by(price, k) - min_by(price, k), 6) AS delta FROM offer GROUP BY product_id, advertiser_id HAVING count(*) >= 2"),
-    Operator("w06_consecutive_rises", f"WITH {_OFFER}, s AS (SELECT *, CASE WHEN price > lag(price) OVER w THEN 0 ELSE 1 END AS broke FROM offer WINDOW w AS (PARTITION BY product_id, advertiser_id ORDER BY k)), e AS (SELECT product_id, advertiser_id, max(k) AS last_k, max(CASE WHEN broke = 1 THEN k END) AS last_break FROM s GROUP BY product_id, advertiser_id) SELECT product_id, advertiser_id, last_k - last_break AS rises FROM e"),
-    Operator("w07_price_stats", f"WITH {_OFFER} SELECT product_id, advertiser_id, count(*) AS n, round(min_by(price, k), 6) AS first_price, round(max_by(price, k), 6) AS last_price, round(min(price), 6) AS low, round(max(price), 6) AS high, round((max_by(price, k) / min_by(price, k) - 1) * 100, 4) AS change_pct FROM offer GROUP BY product_id, advertiser_id"),
+    Operator("w05_first_last_delta", f"WITH {_OFFER} SELECT product_id, advertiser_id, round(max_by(price, k) - min_by(price, k), 6) AS delta FROM offer GROUP BY product_id, advertiser_id HAVING count(*) >= 2", dealt=_BY_OFFER),
+    Operator("w06_consecutive_rises", f"WITH {_OFFER}, s AS (SELECT *, CASE WHEN price > lag(price) OVER w THEN 0 ELSE 1 END AS broke FROM offer WINDOW w AS (PARTITION BY product_id, advertiser_id ORDER BY k)), e AS (SELECT product_id, advertiser_id, max(k) AS last_k, max(CASE WHEN broke = 1 THEN k END) AS last_break FROM s GROUP BY product_id, advertiser_id) SELECT product_id, advertiser_id, last_k - last_break AS rises FROM e", dealt=_BY_OFFER),
+    Operator("w07_price_stats", f"WITH {_OFFER} SELECT product_id, advertiser_id, count(*) AS n, round(min_by(price, k), 6) AS first_price, round(max_by(price, k), 6) AS last_price, round(min(price), 6) AS low, round(max(price), 6) AS high, round((max_by(price, k) / min_by(price, k) - 1) * 100, 4) AS change_pct FROM offer GROUP BY product_id, advertiser_id", dealt=_BY_OFFER),
     Operator("w08_first_appearance", f"WITH {ADS}, f AS (SELECT market, product_id, min(first_seen) AS since FROM ad GROUP BY market, product_id) SELECT market, count(*) AS products, count_if(since > {DAY} - {WINDOW}) AS new_products FROM f GROUP BY market"),
     Operator("w09_rank_gap_test", f"WITH {ADS}, c AS (SELECT product_id, market, count(*) AS n FROM ad GROUP BY product_id, market), r AS (SELECT product_id, market, n, row_number() OVER o AS k, lead(n) OVER o AS second FROM c WINDOW o AS (PARTITION BY product_id ORDER BY n DESC, market)) SELECT product_id, market, n - coalesce(second, 0) >= 2 AS accepted FROM r WHERE k = 1"),
     Operator("w10_top_k_per_group", f"WITH {ADS}, c AS (SELECT advertiser_id, product_id, count(*) AS n FROM ad GROUP BY advertiser_id, product_id), r AS (SELECT *, row_number() OVER (PARTITION BY advertiser_id ORDER BY n DESC, product_id) AS k FROM c) SELECT advertiser_id, product_id, n, k FROM r WHERE k <= 3"),
