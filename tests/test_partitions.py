@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens import registry
+from marketlens.operators import ingest
 from marketlens.sources import store
 
 
@@ -20,3 +22,17 @@ def test_offers_are_dealt_in_partitions_of_bounded_size(spark, sf, monkeypatch,
     assert len(want) == df.count()
     if name == "w06_consecutive_rises":
         assert want == sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_entities_without_a_key_are_dealt_apart(spark):
+    e = spark.createDataFrame([(str(i), "s", i, str(i), "k" if i < 2 else None) for i in range(400)], "entity string, source string, since long, head string, key string")
+    out = ingest._starred(e.repartition(4), F.col("key"))
+    assert {r.entity: r.head for r in out.collect()} == {str(i): "0" if i < 2 else str(i) for i in range(400)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [r.n for r in ingest._starred(e.repartition(4), F.col("key")).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(rows) == 400 and max(rows) < 200
