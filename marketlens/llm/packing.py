@@ -34,7 +34,7 @@ _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker, and one memo of 2^18 words of 32 bytes at most, which `forget` empties."""
+    """One tokenizer for each Python worker, and one memo of 2^18 words of 32 bytes at most, which the worker's next tasks find filled."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ def _tokenizer(path: str):
 
 
 def forget() -> None:
-    """Empties the memo at the end of a task, so that a reused worker stays small."""
+    """Empties the memo."""
     if "memo" in _state:
         _state["memo"].clear()
 
@@ -129,7 +129,6 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 inside = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.record_batch([rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(inside), pa.array(n), pa.array(small, pa.binary())], names=["key", "part", "inside", "doc_tokens", "ids"])
-        forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, part int, inside long, doc_tokens long, ids binary")

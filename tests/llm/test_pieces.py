@@ -19,3 +19,19 @@ def test_words_are_cut_where_the_vocabulary_cuts_and_pieces_are_remembered():
     packing.encoded(["(Straße, straße."], path)
     assert "straße".encode() in packing._state["memo"]
     packing.forget()
+
+
+def test_words_are_remembered_by_the_next_task(spark, tmp_path):
+    import public_tokenizers
+    from pyspark import TaskContext
+
+    def known(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([b"leftover" in packing._state.get("memo", {})])], names=["part", "known"])
+
+    docs = spark.createDataFrame([(i, f"leftover word {i}") for i in range(64)], "doc_id long, text string").repartition(4)
+    packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")).count()
+    packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
+    assert any(r.known for r in spark.range(0, 64, 1, 4).mapInArrow(known, "part long, known boolean").collect())
