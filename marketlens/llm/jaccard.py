@@ -6,15 +6,18 @@
    Any order is exact; this one keeps common passages out of the keys.
 3. Keys go to ranges of hashes as packed arrays, one shuffle. A range drops the keys that one set alone has, and those whose
    place rules out every partner: a pair that first meets at place i of a set of n has at most n - i shingles in common.
-   Keys that a task sees in more than CHUNK sets skip the range, so that no key fills one task.
-4. Each set is tried against the TRIES least sets that its keys lead to. What links so is joined to components.
+   Keys that a task sees in more than CHUNK sets skip the range, so that no key fills one task. A key of SHORT sets or fewer gives
+   the pairs that its places allow, each once a range: texts that share a passage share many keys, but are one pair. The sets
+   of longer keys are a tile.
+4. Each set is tried against the TRIES least sets that its keys lead to. What links so is joined to components. The other pairs
+   of short keys are tried if their components still differ.
 5. Tiles that still hold several components are cut into bands of size (only neighbouring bands can link) and blocks of
    bounded length, and pairs of different components are tried against each other: first a spanning forest of each
    tile's candidates, then, with the components this gives, every pair left of the rows that were in such a pair, once, in
    the tile of its least common key.
 6. A pair is tried by its bitmaps first: the bits in which two parity bitmaps differ are no more than the elements in which
    the sets differ, so bit counts bound the overlap from above. What is left is settled by intersecting the sorted arrays.
-Step 4 only saves work: a pair that step 5 leaves out is known to be connected, so components are exact.
+A pair that steps 4 and 5 leave out is known to be connected, so components are exact.
 
 Defined cases: documents without words have the empty set, size 0, and link with nothing, not even each other; a null
 doc_id is no component's name unless it is alone there; repeated rows are equal sets and link; an empty table gives an empty
@@ -37,9 +40,11 @@ from marketlens.llm.graph import components, extended
 SHINGLE = 5
 BLOCK, BITS, MATRIX = 1024, 64, 1 << 18
 #: Sets of a task that make a shingle common, and how many common ones are ordered by their count (the rest by hash alone).
-COMMON, ORDERED = 32, 1 << 18
+COMMON, ORDERED = 8, 1 << 18
 #: Keys for each range, keys that a task packs at once, sets of a key that go through a range from one pack.
 RANGE, PACK, CHUNK = 1 << 18, 1 << 18, 256
+#: Sets of a key that give pairs, at most 15.5 for each set; more are a tile, which takes a bitmap with each set.
+SHORT = 32
 SEEN, FILTER_BITS, TRIES = 1 << 16, 25, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = np.uint64((1 << 48) - 1)
@@ -227,28 +232,42 @@ def packed_keys(docs: DataFrame, common: np.ndarray, ranges: int, text: str = "t
     return docs.select(text).mapInArrow(run, "range long, low binary, high binary, sid binary, size binary, most binary, lead binary")
 
 
-def _partnered(starts: np.ndarray, counts: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Which rows of runs (starts, counts) have a partner in their run whose size both places allow; long runs are kept whole."""
-    keep = np.repeat(counts > CHUNK, counts)
-    for d in range(1, int(min(counts.max(initial=0), CHUNK + 1))):
-        mine = (counts > d) & (counts <= CHUNK)
-        if not mine.any():
-            break
+def _partners(starts: np.ndarray, counts: np.ndarray, size: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run (starts, counts) whose sizes both places allow, by their distance in the run."""
+    for d in range(1, int(counts.max(initial=0))):
+        mine = counts > d
         n = counts[mine] - d
         i = np.repeat(starts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
         ok = i[(size[i + d] <= most[i]) & (size[i] <= most[i + d])]
-        keep[ok] = keep[ok + d] = True
+        yield ok, ok + d
+
+
+def _partnered(starts: np.ndarray, counts: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of runs (starts, counts) have a partner in their run whose size both places allow; runs over CHUNK are kept whole,
+    and those up to SHORT left out."""
+    keep = np.repeat(counts > CHUNK, counts)
+    mine = (counts > SHORT) & (counts <= CHUNK)
+    for i, j in _partners(starts[mine], counts[mine], size, most):
+        keep[i] = keep[j] = True
     return keep
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs in the order of their ranges -> token, sid, lead of the keys that several sets have."""
+    """Packs in the order of their ranges -> token, sid, lead of the keys that more than SHORT sets have; for the others' pairs,
+    token is null and lead the lesser set."""
     kinds = ("<u4", "<u2", np.int64, np.uint8, np.uint8, np.int64)
 
     def rows(token: np.ndarray, sid: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(token.astype(np.int64)), pa.array(sid), pa.array(lead)], names=["token", "sid", "lead"])
 
-    def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(held, 1)
+        o = np.lexsort((b, a))
+        a, b = a[o], b[o]
+        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        return pa.record_batch([pa.nulls(int(once.sum()), pa.int64()), pa.array(b[once]), pa.array(a[once])], names=["token", "sid", "lead"])
+
+    def settle(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         low, high, sid, size, most = (np.concatenate([h[k] for h in held]) for k in range(5))
         token = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         o = np.lexsort((sid, token))
@@ -262,7 +281,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts[counts > 1]
         starts = np.cumsum(counts) - counts
         keep = _partnered(starts, counts, size, most)
-        return rows(token[keep], sid[keep], np.repeat(sid[starts], counts)[keep])
+        yield rows(token[keep], sid[keep], np.repeat(sid[starts], counts)[keep])
+        short, found, n = counts <= SHORT, [], 0
+        for i, j in _partners(starts[short], counts[short], size, most):
+            found.append(np.stack((sid[i], sid[j])))
+            n += len(i)
+            if n > 4 * PACK:
+                yield pairs(found)
+                found, n = [], 0
+        if n:
+            yield pairs(found)
 
     held, at = [], None
     for batch in batches:
@@ -272,12 +300,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(parts[0].astype(np.uint64) | parts[1].astype(np.uint64) << np.uint64(32), parts[2], parts[5])
                 continue
             if r != at and held:
-                yield settle(held)
+                yield from settle(held)
                 held = []
             at = r
             held.append(parts)
     if held:
-        yield settle(held)
+        yield from settle(held)
 
 
 def _differ(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -509,16 +537,26 @@ def linked(docs: DataFrame, place: str, key: str = "doc_id", text: str = "text")
         discard(pairs, wanted, s)
         return out
 
-    leads = F.slice(F.sort_array(F.collect_set("lead")), 1, TRIES)  # of the set's own keys, so bounded by its length
-    tries = rows.where("sid <> lead").groupBy("sid").agg(leads.alias("leads")).select(F.explode("leads").alias("a"), F.col("sid").alias("b"))
-    passed = _pairs_with(tries, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
-    links = settled(passed)
+    def passed(pairs: DataFrame) -> DataFrame:
+        near = _pairs_with(pairs, maps, ["n", "map"]).where("4 * n_a <= 5 * n_b AND 4 * n_b <= 5 * n_a")
+        return near.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_by_bitmap, "a long, b long")
+
+    met = written(rows.where("token IS NULL").select("sid", "lead").distinct(), "met")
+    rows_of_tiles = rows.where("token IS NOT NULL")
+    leads = F.slice(F.sort_array(F.collect_set("lead")), 1, TRIES)  # of the set's own keys, so bounded by SHORT times its length
+    tries = rows_of_tiles.where("sid <> lead").select("sid", "lead").union(met).groupBy("sid").agg(leads.alias("leads"))
+    tries = written(tries.select(F.explode("leads").alias("a"), F.col("sid").alias("b")), "tries")
+    links = settled(passed(tries))
     roots = written(components(links), "roots")
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    left = met.select(F.col("lead").alias("a"), F.col("sid").alias("b")).join(tries, ["a", "b"], "left_anti")
+    left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     named = maps.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
-    labelled = rows.select("token", "sid").distinct().join(named, "sid")
+    labelled = rows_of_tiles.select("token", "sid").distinct().join(named, "sid")
     tried = written(_in_tiles(labelled, maps), "tried")
     discard(rows)
-    roots = written(extended(roots, settled(tried.where("b IS NOT NULL").select("a", "b"))), "roots")
+    roots = written(extended(roots, settled(tried.where("b IS NOT NULL").select("a", "b").union(passed(left)))), "roots")
+    discard(met, tries)
     open_ = written(tried.where("b IS NULL").select("token", F.col("a").alias("sid")).distinct(), "open")
     named = maps.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
     labelled = written(_mixed(open_.join(named, "sid")).select("token", "sid", "n", "label"), "labelled")
