@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import written
 
 WINDOW, END = 4096, 2
-_MEMO_WORDS, _MEMO_CHARS = 1 << 18, 32
+_MEMO_WORDS, _MEMO_CHARS = 1 << 20, 32
 #: The rule by which the vocabulary cuts a lower-cased text, words of ASCII and the letters of Latin-1, and what the rule is for these.
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SUFFIX = "</w>"
@@ -34,7 +34,7 @@ _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker, and one memo of 2^18 words of 32 bytes at most, which the worker's next tasks find filled."""
+    """One tokenizer for each Python worker, and one memo of 2^20 words of 32 bytes at most, which the worker's next tasks find filled."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
@@ -47,6 +47,14 @@ def _tokenizer(path: str):
         ends = np.zeros(t.get_vocab_size(), bool)
         ends[[i for w, i in t.get_vocab().items() if w.endswith(_SUFFIX)]] = True
         _state["ends"] = ends
+        if _state["pieces"]:  # pieces are lower-cased and cut already, so white space alone parts them
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            plain = Tokenizer.from_file(path)
+            plain.encode_special_tokens = True
+            plain.normalizer = None
+            plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            _state["plain"] = plain
     return _state["tokenizer"], _state["memo"]
 
 
@@ -56,8 +64,9 @@ def forget() -> None:
         _state["memo"].clear()
 
 
-def _remember_pieces(pieces: list[bytes], tokenizer, memo: dict) -> None:
+def _remember_pieces(pieces: list[bytes], memo: dict) -> None:
     """Pieces that the vocabulary's rules don't cut: tokenized in a row, as only a piece's last id stands for the end of a word."""
+    tokenizer = _state["plain"]
     for i in range(0, len(pieces), 256):
         part = pieces[i : i + 256]
         ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -87,20 +96,27 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     """
     tokenizer, memo = _tokenizer(path)
     lines = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-    new = {w for words in lines for w in words if w not in memo}
-    lower = lambda w: w.lower() if w.isascii() else w.decode().lower().encode()
-    cut = {w: _PIECES.findall(lower(w)) for w in new if _PLAIN.fullmatch(w)} if _state["pieces"] else {}
-    missing = {p for pieces in cut.values() for p in pieces if p not in memo}
-    _remember_pieces(list(missing), tokenizer, memo)
+    found = [list(map(memo.get, words)) for words in lines]
+    gaps = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+    new = {words[k] for words, gap in zip(lines, gaps) for k in gap}
+    cut = {w: _PIECES.findall(w.lower() if w.isascii() else w.decode().lower().encode()) for w in new if w.isascii() or _PLAIN.fullmatch(w)} if _state["pieces"] else {}
+    missing = set(chain.from_iterable(cut.values())).difference(memo)
+    if missing:
+        _remember_pieces(list(missing), memo)
     _remember([w for w in new if w not in cut], tokenizer, memo)
-    memo.update((w, b"".join([memo[p] for p in pieces])) for w, pieces in cut.items() if len(pieces) != 1 or pieces[0] != w)
+    memo.update([(w, b"".join(map(memo.__getitem__, pieces))) for w, pieces in cut.items() if len(pieces) != 1 or pieces[0] != w])
     end = END.to_bytes(4, "little")
-    out = [b"".join([memo[w] for w in words]) + end for words in lines]
-    for w in new | missing:
-        if len(w) > _MEMO_CHARS:
-            del memo[w]
-    if len(memo) > _MEMO_WORDS:
+    out = []
+    for words, ids, gap in zip(lines, found, gaps):
+        for k in gap:
+            ids[k] = memo[words[k]]
+        out.append(b"".join(ids) + end)
+    for w in [w for words in (new, missing - new) for w in words if len(w) > _MEMO_CHARS]:
+        del memo[w]
+    if len(memo) > _MEMO_WORDS:  # the words of these texts stay, so frequent ones are not tokenized again
+        stay = {w: memo[w] for words in lines for w in words if w in memo}
         memo.clear()
+        memo.update(stay if len(stay) <= _MEMO_WORDS // 2 else {})
     return out
 
 

@@ -35,3 +35,17 @@ def test_words_are_remembered_by_the_next_task(spark, tmp_path):
     packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")).count()
     packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
     assert any(r.known for r in spark.range(0, 64, 1, 4).mapInArrow(known, "part long, known boolean").collect())
+
+
+def test_frequent_words_stay_when_the_memo_is_full(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "_MEMO_WORDS", 64)
+    packing.forget()
+    want = packing.encoded(["often met"], path)
+    for i in range(40):
+        got = packing.encoded([f"often rare{chr(97 + i % 26)}{'x' * (i % 7)}{chr(97 + i // 2)} met, {'long' * 9}{i}", "often met"], path)
+        assert got[1:] == want
+        assert {b"often", b"met"} <= set(packing._state["memo"]) and len(packing._state["memo"]) <= 64
+    packing.forget()
