@@ -41,11 +41,11 @@ def test_frequent_words_stay_when_the_memo_is_full(monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    monkeypatch.setattr(packing, "_MEMO_WORDS", 64)
+    monkeypatch.setattr(packing, "_MEMO_WORDS", 16)
     packing.forget()
     want = packing.encoded(["often met"], path)
     for i in range(40):
         got = packing.encoded([f"often rare{chr(97 + i % 26)}{'x' * (i % 7)}{chr(97 + i // 2)} met, {'long' * 9}{i}", "often met"], path)
         assert got[1:] == want
-        assert {b"often", b"met"} <= set(packing._state["memo"]) and len(packing._state["memo"]) <= 64
+        assert {b"often", b"met"} <= set(packing._state["memo"]) and len(packing._state["memo"]) <= 16
     packing.forget()
