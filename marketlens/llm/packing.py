@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import written
 
 WINDOW, END = 4096, 2
-_MEMO_WORDS, _MEMO_CHARS = 1 << 20, 32
+#: Words remembered, so many that with those of one batch they stay under two thirds of 2^20, where a dict doubles, and bytes of one.
+_MEMO_WORDS, _MEMO_CHARS = 5 << 17, 32
 #: The rule by which the vocabulary cuts a lower-cased text, words of ASCII and the letters of Latin-1, and what the rule is for these.
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SUFFIX = "</w>"
@@ -34,25 +35,23 @@ _state: dict = {}
 
 
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker, and one memo of 2^20 words of 32 bytes at most, which the worker's next tasks find filled."""
+    """One tokenizer for each Python worker, and one memo of words of 32 bytes at most, which the worker's next tasks find filled."""
     if _state.get("path") != path:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        rules = json.loads(t.to_str())
-        cuts = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", ())]
-        lower = {"type": "Lowercase"} in (rules.get("normalizer") or {}).get("normalizers", ())
-        _state.update(path=path, tokenizer=t, memo={}, pieces=lower and _RULE in cuts and rules["model"].get("end_of_word_suffix") == _SUFFIX)
+        rules, before = ({} if part is None else json.loads(part.__getstate__()) for part in (t.pre_tokenizer, t.normalizer))
+        cuts = [x.get("pattern", {}).get("Regex") for x in rules.get("pretokenizers", ())]
+        lower = {"type": "Lowercase"} in before.get("normalizers", ())
+        _state.update(path=path, tokenizer=t, memo={}, pieces=lower and _RULE in cuts and getattr(t.model, "end_of_word_suffix", None) == _SUFFIX)
         ends = np.zeros(t.get_vocab_size(), bool)
         ends[[i for w, i in t.get_vocab().items() if w.endswith(_SUFFIX)]] = True
         _state["ends"] = ends
         if _state["pieces"]:  # pieces are lower-cased and cut already, so white space alone parts them
             from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-            plain = Tokenizer.from_file(path)
-            plain.encode_special_tokens = True
-            plain.normalizer = None
+            plain = Tokenizer(t.model)  # the same vocabulary, held once
             plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
             _state["plain"] = plain
     return _state["tokenizer"], _state["memo"]
@@ -136,6 +135,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, before = TaskContext.get().partitionId(), 0
+        pa.default_memory_pool().release_unused()  # what a worker's earlier tasks, of other stages too, have left
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
@@ -151,6 +151,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
+    forget()  # the words of pass one
     for batch in batches:
         begins, sizes, ids = (batch.column(i) for i in (1, 2, 3))
         row, start, length, crc, seq, off = [], [], [], [], [], []
