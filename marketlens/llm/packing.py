@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import written
 
 WINDOW, END = 4096, 2
-#: Words remembered, so many that with those of one batch they stay under two thirds of 2^20, where a dict doubles, and bytes of one.
-_MEMO_WORDS, _MEMO_CHARS = 5 << 17, 32
+#: Words remembered unless told otherwise, fewer of them where an executor's memory is short (with those of one batch under two thirds of 2^20,
+#: where a dict doubles), and bytes of one.
+_MEMO_WORDS, FEW_WORDS, _MEMO_CHARS = 1 << 20, 5 << 17, 32
 #: The rule by which the vocabulary cuts a lower-cased text, words of ASCII and the letters of Latin-1, and what the rule is for these.
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SUFFIX = "</w>"
@@ -87,7 +88,7 @@ def _remember(words: list[bytes], tokenizer, memo: dict) -> None:
             at += 4 * n
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
+def encoded(texts: list[str], path: str, words_held: int | None = None) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, the end token last.
 
     The vocabulary's rules drop white space and no token spans it, so words are tokenized one by one and remembered. A new word of Latin
@@ -112,10 +113,11 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         out.append(b"".join(ids) + end)
     for w in [w for words in (new, missing - new) for w in words if len(w) > _MEMO_CHARS]:
         del memo[w]
-    if len(memo) > _MEMO_WORDS:  # the words of these texts stay, so frequent ones are not tokenized again
+    most = words_held or _MEMO_WORDS
+    if len(memo) > most:  # the words of these texts stay, so frequent ones are not tokenized again
         stay = {w: memo[w] for words in lines for w in words if w in memo}
         memo.clear()
-        memo.update(stay if len(stay) <= _MEMO_WORDS // 2 else {})
+        memo.update(stay if len(stay) <= most // 2 else {})
     return out
 
 
@@ -124,7 +126,7 @@ def id_type(path: str) -> str:
     return "<u2" if _tokenizer(path)[0].get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", words_held: int | None = None) -> DataFrame:
     """Pass one: key, part, inside (tokens of the part before this document), doc_tokens, ids (16-bit where the vocabulary fits)."""
     width = id_type(path)
 
@@ -139,7 +141,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = batch.slice(i, 512)
-                ids = encoded([x or "" for x in rows.column(1).to_pylist()], path)
+                ids = encoded([x or "" for x in rows.column(1).to_pylist()], path, words_held)
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 small = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
                 inside = before + np.cumsum(n) - n
@@ -169,13 +171,14 @@ def _cut(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBat
         yield pa.record_batch(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def packed(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, path: str | None = None, key: str = "doc_id", words_held: int | None = None) -> DataFrame:
+    """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. words_held: how many words a worker remembers, a matter
+    of memory and time only."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    rows = written(tokenized(docs, path, key), "tokens")
+    rows = written(tokenized(docs, path, key, words_held=words_held), "tokens")
     sums = rows.groupBy("part").agg(F.sum("doc_tokens").alias("n"))  # one row for each task of pass one
     base = sums.select("part", (F.expr("sum(n) OVER (ORDER BY part)") - F.col("n")).alias("base"))
     placed = rows.join(F.broadcast(base), "part").select("key", (F.col("base") + F.col("inside")).alias("begin"), "doc_tokens", "ids")
